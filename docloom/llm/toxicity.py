@@ -1,12 +1,12 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence scores sigmoid(bias + sum of its words' weights); a
+A document is a bag of sentences. A sentence scores sigmoid(bias + sum of its words' feature weights); a
 document is toxic if any sentence is: P = 1 - prod(1 - p_sentence), the noisy-or. Only documents
 carry labels; gradient descent on the noisy-or's likelihood spreads them to the sentences, so that
 the sentences that make a document toxic can be named.
 
 The model is fitted on the driver on at most SAMPLE_DOCS labelled documents, drawn by the hash of
-their id; its words are those whose document frequency differs between the classes by SELECT_Z
+their id. A word's features are itself and its beginnings; the model keeps those whose document frequency differs between the classes by SELECT_Z
 standard errors. Scoring covers every whole text and is a narrow map.
 
 Defined cases: a null or wordless text is one empty sentence; labels that are null are left out, and
@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -30,6 +31,9 @@ SAMPLE_DOCS = 6000
 SELECT_Z = 3.5
 MIN_DOCS = 4
 STEPS = 400
+PREFIXES = (4, 5, 6, 7)
+#: Entries a worker keeps of words and their weights; the dictionary is emptied when full.
+CACHE_ENTRIES = 400_000
 
 _BLANK = bytes(c if chr(c).isalnum() or c >= 128 or c in b"'.!?\n" else 32 for c in range(256))
 _SENTENCE = re.compile(rb"[^.!?\n]*[^.!?\n ][^.!?\n]*")
@@ -40,22 +44,44 @@ def sentences_of(text: str | None) -> list[bytes]:
     return _SENTENCE.findall(text.lower().encode("utf-8", "replace").translate(_BLANK)) if text else []
 
 
+def features_of(word: bytes) -> list[str]:
+    """The word itself and its beginnings, so that unseen endings of a stem are known too."""
+    w = word.decode("utf-8", "replace")
+    return [f"{w}$", *(w[:k] for k in PREFIXES if len(w) > k)]
+
+
+class _WordWeights(dict):
+    """word -> sum of the weights of its features; made on first use, emptied when full."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: bytes) -> float:
+        got = self.weights.get
+        value = sum(got(f, 0.0) for f in features_of(word))
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = value
+        return value
+
+
 class NoisyOr:
-    def __init__(self, weights: dict[bytes, float], bias: float):
+    def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
+        self.word = _WordWeights(weights)
         self.calm = float(np.logaddexp(0.0, bias))  # -log(1 - p) of a sentence without known words
 
     def score(self, text: str | None) -> tuple[float, int | None]:
         """The document's score, and the index of its worst sentence (null if no sentence has known words)."""
         found = sentences_of(text)
-        known, weights = self.weights.keys(), self.weights
         total, worst, at = self.calm * max(1, len(found)), 0.0, None
-        if found and not known.isdisjoint(b" ".join(found).split()):
+        if found and any(map(self.word.__getitem__, b" ".join(found).split())):
             for i, s in enumerate(found):
-                words = s.split()
-                if not known.isdisjoint(words):
-                    z = sum(weights.get(w, 0.0) for w in words)
-                    hit = float(np.logaddexp(0.0, self.bias + z)) - self.calm
+                words = list(map(self.word.__getitem__, s.split()))
+                if any(words):
+                    hit = float(np.logaddexp(0.0, self.bias + sum(words))) - self.calm
                     total += hit
                     if hit > worst:
                         worst, at = hit, i
@@ -67,7 +93,8 @@ def fit(texts: list[str | None], labels: list[int]) -> NoisyOr:
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return NoisyOr({}, float(np.log(np.expm1(-np.log1p(-min(share, 1 - 1e-9))) or 1e-12)) if share else -27.0)
-    bags = [[s.split() for s in sentences_of(t)] or [[]] for t in texts]
+    known = lru_cache(None)(features_of)
+    bags = [[[f for w in s.split() for f in known(w)] for s in sentences_of(t)] or [[]] for t in texts]
     seen, toxic = Counter(), Counter()
     for bag, label in zip(bags, labels):
         words = {w for s in bag for w in s}
