@@ -30,6 +30,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), TOKEN_LIMIT)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.quality_lines import judge_documents
 
@@ -42,6 +48,13 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_token_counts, op6_quality_lines, op9_licenses)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_token_counts, op5_warc, op6_quality_lines, op9_licenses)}
 
-ORACLE = {}
+ORACLE = {
+    "op5_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        q AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+        r AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS newest FROM q)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN newest = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN newest <> page_id THEN newest END AS refers_to FROM r""",
+}
