@@ -48,7 +48,13 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_token_counts, op5_warc, op6_quality_lines, op9_licenses)}
+def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.parity_join import link_components
+
+    return link_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_token_counts, op5_warc, op6_quality_lines, op9_licenses, op10_parity_join)}
 
 ORACLE = {
     "op5_warc": f"""
