@@ -30,6 +30,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), TOKEN_LIMIT)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.decontam import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.warc import round_trip
 
@@ -60,7 +66,7 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_token_counts, op5_warc, op6_quality_lines, op8_line_dedup, op9_licenses, op10_parity_join)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_token_counts, op4_decontamination, op5_warc, op6_quality_lines, op8_line_dedup, op9_licenses, op10_parity_join)}
 
 ORACLE = {
     "op5_warc": f"""
