@@ -48,6 +48,12 @@ def op6_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.bestfit import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), SEQUENCE_TOKENS)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.line_dedup import line_report
 
@@ -66,7 +72,7 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_token_counts, op4_decontamination, op5_warc, op6_quality_lines, op8_line_dedup, op9_licenses, op10_parity_join)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_token_counts, op4_decontamination, op5_warc, op6_quality_lines, op7_bestfit, op8_line_dedup, op9_licenses, op10_parity_join)}
 
 ORACLE = {
     "op5_warc": f"""
