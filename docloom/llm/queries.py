@@ -17,6 +17,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.html_template import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.toxicity import score_documents, train
 
@@ -72,7 +78,7 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_token_counts, op4_decontamination, op5_warc, op6_quality_lines, op7_bestfit, op8_line_dedup, op9_licenses, op10_parity_join)}
+QUERIES = {f.__name__: f for f in (op1_html_template, op2_toxicity, op3_token_counts, op4_decontamination, op5_warc, op6_quality_lines, op7_bestfit, op8_line_dedup, op9_licenses, op10_parity_join)}
 
 ORACLE = {
     "op5_warc": f"""
