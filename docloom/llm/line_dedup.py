@@ -1,6 +1,6 @@
 """Line deduplication by a deletion-neighbourhood join. DataFrame operations only.
 
-A line is the sequence of its words, A-Z lower-cased, split at ASCII white space. Lines are ordered by
+A line is the sequence of its words, lower-cased, split at ASCII white space. Lines are ordered by
 (doc_id, line number). A line goes if an earlier line equals it or lies within the edit bound:
 one word inserted, removed or replaced, if the shorter line has MIN_WORDS words or more; for shorter lines only
 equal ones go. Lines without words are never removed. The rule looks at every earlier line, kept or not, so
@@ -30,93 +30,102 @@ from docloom.llm.common import cut, key_side
 
 MIN_WORDS = 10
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def _norm(line) -> F.Column:
-    return F.trim(F.regexp_replace(F.translate(line, _UPPER, _LOWER), "[ \\t\\x0b\\f\\r]+", " "))
+_KEYS = ("first0", "last0", "first1", "last1")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, norm, n, h1, h2) of every line with words."""
-    split = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    norm = split.select("doc_id", "line_no", _norm(F.col("line")).alias("norm")).where("norm <> ''")
-    n = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
-    return norm.select("doc_id", "line_no", "norm", n.alias("n"), F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(7), "norm").alias("h2"))
+    """(doc_id, line_no, norm) of every line with words; texts are normalised before they are split, so once."""
+    text = F.regexp_replace(F.lower("text"), "[ \\t\\x0b\\f\\r]*[\\t\\x0b\\f\\r][ \\t\\x0b\\f\\r]*|  +", " ")
+    text = F.replace(F.replace(text, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
+    split = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(F.split(F.trim(text), "\n", -1)).alias("line_no", "norm"))
+    return split.where("norm <> ''")
 
 
-def _halves(lines: DataFrame) -> DataFrame:
-    """(h1, h2, half): the first and last floor(m / 2) words, for m the line's words and one word less."""
+def _hashed(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, n, h1, h2) and the keys of the line's halves.
+
+    A half is the first or last floor(m / 2) words, for m the line's words and one word less; null for short lines.
+    """
+    n = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
+    counted = lines.select("doc_id", "line_no", "norm", n.alias("n"))
 
-    def key(m: F.Column, first: bool) -> F.Column:
+    def key(less: int, first: bool) -> F.Column:
+        m = F.col("n") - less
         k = F.floor(m / 2).cast("int")
         words = F.call_function("substring_index", F.col("norm"), F.lit(" "), k if first else -k)
-        return F.xxhash64(F.lit(first), m, F.when(k > 0, words).otherwise(""))
-
-    n = F.col("n")
-    keys = F.array(*(key(m, first) for m in (n, n - 1) for first in (True, False)))
-    return lines.where(n >= MIN_WORDS).select("h1", "h2", F.explode(keys).alias("half"))
+        return F.when(F.col("n") >= MIN_WORDS, F.xxhash64(F.lit(first), m, words))
+
+    keys = [key(less, first).alias(name) for name, (less, first) in zip(_KEYS, ((0, True), (0, False), (1, True), (1, False)))]
+    return counted.select("doc_id", "line_no", "n", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(7), "norm").alias("h2"), *keys)
+
+
+def _variants(near: DataFrame) -> DataFrame:
+    """(doc_id, line_no, key, p): each line without its word p, and whole (p = -1), of near(h1, h2, doc_id, line_no, n, words)."""
+    line = Window.partitionBy("h1", "h2")
+    upto = line.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    word = near.select("h1", "h2", "doc_id", "line_no", "n", F.posexplode("words").alias("p", "w"))
+    word = word.select("h1", "h2", "doc_id", "line_no", "n", "p", F.xxhash64("p", "w").alias("here"), F.xxhash64(F.col("p") - 1, "w").alias("shifted"))
+    runs = word.select(
+        "doc_id", "line_no", "n", "p", "here",
+        F.bit_xor("here").over(upto).alias("here_upto"), F.bit_xor("shifted").over(upto).alias("shifted_upto"),
+        F.bit_xor("here").over(line).alias("here_all"), F.bit_xor("shifted").over(line).alias("shifted_all"),
+    )
+    # words before p at their places, words after it one place earlier
+    without = F.col("here_upto").bitwiseXOR(F.col("here")).bitwiseXOR(F.col("shifted_all")).bitwiseXOR(F.col("shifted_upto"))
+    each = F.struct(F.xxhash64(without, F.col("n") - 1).alias("key"), F.col("p"))
+    whole = F.struct(F.xxhash64("here_all", "n").alias("key"), F.lit(-1).alias("p"))
+    return runs.select("doc_id", "line_no", "n", F.explode(F.when(F.col("p") == 0, F.array(each, whole)).otherwise(F.array(each))).alias("v")).select("doc_id", "line_no", "n", "v.*")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, keeper_doc, keeper_line) of every line that goes, and an earlier line within the bound of it."""
-    lines = _lines(docs)
+    hashed = cut(_hashed(_lines(docs)))
     place = F.struct("doc_id", "line_no")
-    hashed = lines.select("doc_id", "line_no", "h1", "h2")
-    first = cut(hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies")).select("h1", "h2", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "copies"))
+
+    # 1: the first place of each distinct line
+    first = hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
+    first = cut(first.select("h1", "h2", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "copies"))
 
     # 2: halves that two different lines have
-    halves = _halves(lines)
-    shared = cut(halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("h2").alias("c"), F.max("h2").alias("d")).where("a <> b OR c <> d").select("half"))
-    likely = cut(halves.join(key_side(shared), "half", "left_semi").select("h1", "h2").distinct().join(first, ["h1", "h2"]).select("doc_id", "line_no", "h1", "h2"))
-
-    # 3: variants of the lines at their first places
-    near = lines.join(key_side(likely), ["doc_id", "line_no", "h1", "h2"]).select("doc_id", "line_no", "h1", "h2", "n", "norm").dropDuplicates(["h1", "h2"])
-    near = cut(near.select("h1", "h2", place.alias("at"), "n", F.split("norm", " ").alias("words")))
-    word = near.select("h1", "h2", "at", "n", F.posexplode("words").alias("p", "w"))
-    upto = Window.partitionBy("h1", "h2").orderBy("p")
-    before, whole = upto.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("h1", "h2")
-    here, shifted = F.xxhash64("p", "w"), F.xxhash64(F.col("p") - 1, "w")
-    zero = F.lit(0).cast("long")
-    runs = word.select("h1", "h2", "at", "n", "p", here.alias("here"), shifted.alias("shifted")).select(
-        "h1", "h2", "at", "n", "p",
-        F.coalesce(F.bit_xor("here").over(before), zero).bitwiseXOR(F.coalesce(F.bit_xor("shifted").over(upto.rowsBetween(1, Window.unboundedFollowing)), zero)).alias("key"),
-        F.when(F.col("p") == 0, F.bit_xor("here").over(whole)).alias("own"),
-    )
-    variants = cut(runs.select("h1", "h2", "at", F.explode(F.array(
-        F.struct(F.col("key"), F.col("p"), (F.col("n") - 1).alias("size")),
-        F.struct(F.col("own").alias("key"), F.lit(-1).alias("p"), F.col("n").alias("size")),
-    )).alias("v")).select("h1", "h2", "at", "v.*").where("key IS NOT NULL"))
+    halves = hashed.where(F.col("first0").isNotNull()).select("h1", F.explode(F.array(*_KEYS)).alias("half"))
+    shared = cut(halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half"))
+    likely = halves.join(key_side(shared), "half", "left_semi").select("h1").distinct()
+    likely = cut(likely.join(first, "h1").select("h1", "h2", "doc_id", "line_no"))
+
+    # 3: variants of those lines, at their first places
+    some = docs.select("doc_id", "text").join(key_side(likely.select("doc_id").distinct()), "doc_id", "left_semi")
+    near = _lines(some).join(key_side(likely), ["doc_id", "line_no"]).where(F.xxhash64("norm") == F.col("h1")).dropDuplicates(["h1", "h2"])
+    near = cut(near.select("h1", "h2", "doc_id", "line_no", F.split("norm", " ").alias("words")).withColumn("n", F.size("words")))
+    # most variants are of one line only
+    variants = _variants(near)
+    met = cut(variants.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"))
+    variants = cut(variants.join(key_side(met), "key", "left_semi").select(place.alias("at"), "n", "key", "p"))
 
     # the earliest line of a variant at one place, of its makers at any place, and of the lines that equal it
-    line = F.struct("at", "p")
-    same = variants.groupBy("key", "size", "p").agg(F.min(line).alias("best"), F.count("*").alias("lines"))
-    replaced = same.where("p >= 0 AND lines > 1").select("key", "size", "p", "best")
-    makers = same.where("p >= 0").groupBy("key", "size").agg(F.min("best").alias("best"))
-    equals = same.where("p = -1").select("key", "size", "best")
-    long = F.col("size") >= MIN_WORDS
+    same = variants.groupBy("key", "p").agg(F.min(F.struct("at", "p")).alias("best"), F.count("*").alias("lines"))
+    replaced = same.where("p >= 0 AND lines > 1").select("key", "p", "best")
+    makers = same.where("p >= 0").groupBy("key").agg(F.min("best").alias("best"))
+    equals = same.where("p = -1").select("key", "best")
     pairs = [
-        variants.where("p >= 0").where(F.col("size") + 1 >= MIN_WORDS).join(replaced, ["key", "size", "p"]),  # replaced words
-        variants.where("p = -1").where(long).join(makers, ["key", "size"]),  # lacks a word of an earlier line
-        variants.where("p >= 0").where(long).join(equals, ["key", "size"]),  # has a word more than an earlier line
+        variants.where(F.col("p") >= 0).join(replaced, ["key", "p"]),  # replaced words
+        variants.where(F.col("p") == -1).join(makers, "key"),  # lacks a word of an earlier line
+        variants.where((F.col("p") >= 0) & (F.col("n") > MIN_WORDS)).join(equals, "key"),  # has a word more than an earlier line
     ]
-    found = [x.select("h1", "h2", "at", F.col("p").alias("p"), "best").where(F.col("best.at") < F.col("at")) for x in pairs]
-    hits = found[0].unionByName(found[1]).unionByName(found[2]).select("h1", "h2", "at", "p", F.col("best.at").alias("kept"), F.col("best.p").alias("q"))
+    hits = [x.where(F.col("best.at") < F.col("at")).select("at", "p", F.col("best.at").alias("kept"), F.col("best.p").alias("q")) for x in pairs]
     # any witness will do: the earliest
-    witness = hits.groupBy("h1", "h2").agg(F.min(F.struct("kept", "p", "q")).alias("w")).select("h1", "h2", "w.*")
+    witness = hits[0].unionByName(hits[1]).unionByName(hits[2]).groupBy("at").agg(F.min(F.struct("kept", "p", "q")).alias("w")).select("at", "w.*")
 
     # 4: verify on the words
-    a = near.join(witness, ["h1", "h2"]).select("h1", "h2", "p", "q", "kept", "words")
-    b = near.select(F.col("at").alias("kept"), F.col("words").alias("others"))
+    own = near.select("h1", "h2", place.alias("at"), "words")
+    others = near.select(place.alias("kept"), F.col("words").alias("others"))
     without = lambda c, k: F.when(F.col(k) >= 0, F.concat(F.slice(c, F.lit(1), F.greatest(F.col(k), F.lit(0))), F.slice(c, F.greatest(F.col(k) + 2, F.lit(1)), F.size(c)))).otherwise(F.col(c))
-    verified = cut(a.join(b, "kept").where(without("words", "p") == without("others", "q")).select("h1", "h2", "kept"))
+    verified = cut(own.join(witness, "at").join(others, "kept").where(without("words", "p") == without("others", "q")).select("h1", "h2", "kept"))
 
     # every place of a line that isn't its first, and first places with a witness
     doubtful = first.join(key_side(verified), ["h1", "h2"], "left").where("copies > 1 OR kept IS NOT NULL")
-    doubtful = cut(doubtful.select("h1", "h2", F.struct("doc_id", "line_no").alias("first"), "kept"))
-    own = F.struct("doc_id", "line_no")
-    out = hashed.join(key_side(doubtful), ["h1", "h2"]).where((own > F.col("first")) | F.col("kept").isNotNull())
-    keeper = F.when(own > F.col("first"), F.col("first")).otherwise(F.col("kept"))
+    doubtful = cut(doubtful.select("h1", "h2", place.alias("first"), "kept"))
+    out = hashed.select("doc_id", "line_no", "h1", "h2").join(key_side(doubtful), ["h1", "h2"]).where((place > F.col("first")) | F.col("kept").isNotNull())
+    keeper = F.when(place > F.col("first"), F.col("first")).otherwise(F.col("kept"))
     return out.select("doc_id", "line_no", keeper.alias("k")).select("doc_id", "line_no", F.col("k.doc_id").alias("keeper_doc"), F.col("k.line_no").alias("keeper_line"))
 
 
