@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm.common import table
+from docloom.llm.line_dedup import MIN_WORDS as LINE_WORDS
+from docloom.llm.quality_lines import KEEP_SHARE, LINE_SHARE, MAX_REPEAT_PERCENT, MIN_LINE_DOCS, MIN_WORDS
 
 # Fixed values of the contracts.
 TOKEN_LIMIT = 1024
@@ -80,7 +82,52 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_html_template, op2_toxicity, op3_token_counts, op4_decontamination, op5_warc, op6_quality_lines, op7_bestfit, op8_line_dedup, op9_licenses, op10_parity_join)}
 
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
 ORACLE = {
+    "op6_quality_lines": rf"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT doc_id, text, {_WORDS.format("text")} AS ws FROM d),
+        tri AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM w, unnest(range(1, len(ws) - 1)) AS u(i)),
+        dup AS (SELECT doc_id, a, b, c FROM tri GROUP BY ALL HAVING count(*) > 1),
+        pos AS (SELECT DISTINCT doc_id, i + k AS p FROM tri JOIN dup USING (doc_id, a, b, c), (VALUES (0), (1), (2)) v(k)),
+        rep AS (SELECT doc_id, count(*) AS n_repeat FROM pos GROUP BY 1),
+        lines AS (SELECT * FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS ln FROM d) WHERE regexp_matches(ln, '[^\x20\x09-\x0D]')),
+        dl AS (SELECT doc_id, count(*) - count(DISTINCT ln) AS n_dup FROM lines GROUP BY 1),
+        norm AS (SELECT doc_id, host, {_WORDS.format(f"translate(ln, '{_UP}', '{_LOW}')")} AS lw FROM lines),
+        per AS (SELECT doc_id, host, lw, sum(len(lw)) AS words FROM norm GROUP BY ALL),
+        hosts AS (SELECT host, count(DISTINCT doc_id) AS n FROM d GROUP BY 1),
+        above AS (SELECT host, lw, min(doc_id) AS f FROM per JOIN hosts USING (host) GROUP BY host, lw, n HAVING count(DISTINCT doc_id) > {MIN_LINE_DOCS} AND count(DISTINCT doc_id) > n * {LINE_SHARE}),
+        lost AS (SELECT doc_id, sum(words) AS gone FROM per JOIN above USING (host, lw) WHERE doc_id <> f GROUP BY 1),
+        b AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+              CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines,
+              CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed_words
+              FROM w LEFT JOIN dl USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
+        c AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM b)
+        SELECT *, NOT base_failed AND n_words - n_removed_words >= n_words * {KEEP_SHARE} AS kept FROM c""",
+    "op8_line_dedup": rf"""
+        WITH l AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS ln FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
+        w AS (SELECT doc_id, i, regexp_extract_all(lower(ln), '[^ \t\x0b\f\r]+') AS ws FROM l),
+        f AS (SELECT ws, len(ws) AS n, min((doc_id, i)) AS spot FROM w WHERE len(ws) > 0 GROUP BY ws),
+        v AS (SELECT spot, n, p, array_to_string(ws[:p - 1] || ws[p + 1:], ' ') AS k FROM f, unnest(range(1, n + 1)) AS u(p) WHERE n >= {LINE_WORDS}),
+        own AS (SELECT spot, n, array_to_string(ws, ' ') AS k FROM f WHERE n >= {LINE_WORDS}),
+        same AS (SELECT n, p, k, min(spot) AS best FROM v GROUP BY ALL HAVING count(*) > 1),
+        near AS (SELECT v.spot FROM v JOIN same USING (n, p, k) WHERE same.best < v.spot
+                 UNION SELECT own.spot FROM own JOIN v ON own.k = v.k AND v.n = own.n + 1 WHERE v.spot < own.spot
+                 UNION SELECT v.spot FROM own JOIN v ON own.k = v.k AND v.n = own.n + 1 WHERE own.spot < v.spot),
+        gone AS (SELECT w.doc_id, w.i FROM w JOIN f ON w.ws = f.ws LEFT JOIN near ON f.spot = near.spot WHERE len(w.ws) > 0 AND ((w.doc_id, w.i) <> f.spot OR near.spot IS NOT NULL))
+        SELECT l.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed, coalesce(string_agg(ln, chr(10) ORDER BY l.i) FILTER (gone.i IS NULL), '') AS text
+        FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id""",
+    "op10_parity_join": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(f"translate(coalesce(text, ''), '{_UP}', '{_LOW}')")} AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM w, unnest(range(1, greatest(len(ws) - 3, 2))) AS u(i) WHERE len(ws) > 0),
+        c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS (SELECT x, y FROM p JOIN c ca ON ca.doc_id = x JOIN c cb ON cb.doc_id = y WHERE 100 * k >= 80 * (ca.n + cb.n - k)),
+        r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+        SELECT w.doc_id, coalesce(any_value(c.n), 0) AS n_shingles, least(w.doc_id, coalesce(min(r.y), w.doc_id)) AS component_id
+        FROM w LEFT JOIN c ON c.doc_id = w.doc_id LEFT JOIN r ON r.x = w.doc_id GROUP BY w.doc_id""",
     "op5_warc": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         q AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
