@@ -50,11 +50,11 @@ def split_tar(content: bytes) -> list[Fragment]:
 
 
 def build_zip(entries: list[tuple[str, bytes]]) -> bytes:
-    """The same bytes for the same entries."""
+    """The same bytes for the same entries. An OpenDocument file's mimetype is stored, as readers look for it uncompressed."""
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
         for name, data in entries:
-            z.writestr(zipfile.ZipInfo(name, EPOCH), data, zipfile.ZIP_DEFLATED)
+            z.writestr(zipfile.ZipInfo(name, EPOCH), data, zipfile.ZIP_STORED if name == "mimetype" else zipfile.ZIP_DEFLATED)
     return raw.getvalue()
 
 

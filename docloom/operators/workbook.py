@@ -315,7 +315,8 @@ def split_workbook(content: bytes, names: tuple[str, ...] = (), exclude_hidden:
     sheets = read_workbook(content)
     if not sheets:
         raise ConversionError("Split", "the workbook has no sheets")
-    ods = content[30:70].startswith(b"mimetype") and b"opendocument" in content[30:100]
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        ods = "content.xml" in z.namelist()
     book = {s.name: s for s in sheets}
     write, mime = (write_ods, SHORT["ods"]) if ods else (write_xlsx, SHORT["xlsx"])
     kept = select_sheets(sheets, names, exclude_hidden)
