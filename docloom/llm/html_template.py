@@ -226,10 +226,9 @@ def _deduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def templates(pages: DataFrame) -> DataFrame:
     """host, content (path of the element), repeated (keys of text tokens) from pages(page, host, html) that are distinct in each host."""
     sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    small = sizes.where(F.col("pages") < MIN_PAGES).select("host", F.lit("").alias("group"))
+    small = key_side(cut(sizes.where(F.col("pages") < MIN_PAGES).select("host", F.lit("").alias("group"))), 50_000)
     pooled = F.coalesce("group", "host")
     tokens = pages.select("page", "host", "html").mapInArrow(_tokens, "host string, page long, path string, text long, times long, place long, mass long")
-    # small hosts are as many as the corpus has: a join, not a list
     grouped = tokens.join(small, "host", "left").select(pooled.alias("host"), "page", "path", "text", "times", "place", "mass")
     counted = grouped.groupBy("host", "path", "text").agg(
         F.count("*").alias("support"), F.sum("times").alias("total"), F.bit_xor(F.xxhash64("page", "times")).alias("vector"), F.sum("place").alias("places"), F.sum("mass").alias("mass")
