@@ -42,6 +42,14 @@ def key_side(df: DataFrame, bound: int = BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(df) if small(df, bound) else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def map_rows(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str, setup: Callable | None = None) -> DataFrame:
     """fn(columns as lists, state) yields dicts of column lists; Arrow in and out, one record batch at a time."""
     from pyspark.sql.types import StructType
@@ -74,7 +82,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         else:
             near = pairs
         least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        joined = near.join(least, "a")
+        # as an expression the key has no known partitioning: both sides of the join are exchanged for it, so that hot nodes can be split
+        joined = near.join(least.select(F.col("a").bitwiseXOR(F.lit(0)).alias("a"), "m"), "a")
         if large:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from docloom.llm.common import cut, key_side
+from docloom.llm.common import cut, fresh, key_side
 
 MIN_WORDS = 10
 
@@ -129,21 +129,24 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "line_no", keeper.alias("k")).select("doc_id", "line_no", F.col("k.doc_id").alias("keeper_doc"), F.col("k.line_no").alias("keeper_line"))
 
 
-def _stripped(docs: DataFrame) -> DataFrame:
-    """docs with __text (without the lines that go), __lines and __gone (their numbers)."""
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("__set"))
-    kept = F.when(F.col("__set").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__set", i)), "\n"))
-    return docs.join(gone, "doc_id", "left").withColumns({"__text": kept, "__gone": F.when(F.col("__set").isNull(), 0).otherwise(F.size("__set"))})
+def _stripped(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with the numbers of the lines that go (null: none) and the text without them; the names of these columns."""
+    gone, left = fresh(docs, "__gone"), fresh(docs, "__left")
+    numbers = removed_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias(gone))
+    kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n"))
+    return docs.join(numbers, "doc_id", "left").withColumn(left, kept), gone, left
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the text that stays, of every row."""
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
-    return _stripped(docs).select("doc_id", n.cast("long").alias("n_lines"), F.col("__gone").cast("long").alias("n_removed"), F.col("__text").alias("text"))
+    out, gone, left = _stripped(docs.select("doc_id", "text"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
+    n_removed = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone))
+    return out.select("doc_id", n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"), F.col(left).alias("text"))
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, with their texts stripped; without documents of which nothing is left."""
-    words = r"[^ \t\n\x0b\f\r]"
-    left = _stripped(docs).where(F.col("__set").isNull() | F.col("__text").rlike(words))
-    return left.select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    out, gone, left = _stripped(docs)
+    some = out.where(F.col(gone).isNull() | F.col(left).rlike(r"[^ \t\n\x0b\f\r]"))
+    return some.select(*[F.col(left).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

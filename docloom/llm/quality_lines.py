@@ -14,12 +14,14 @@ of its rows is judged; other columns pass through `clean_documents` unchanged.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import islice
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from docloom.llm.common import cut, key_side, map_rows
+from docloom.llm.common import cut, fresh, key_side, map_rows
 
 MIN_LINE_DOCS = 20
 LINE_SHARE = 0.02
@@ -77,12 +79,12 @@ _FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_word
 
 def _measured(docs: DataFrame, host: str) -> DataFrame:
     def measure(cols):
-        rows = [base_features(t) for t in cols[2]]
-        yield {"doc_id": cols[0], "host": cols[1]} | {k: [r[k] for r in rows] for k in (*_FEATURES, "lines", "line_words")}
+        rows = [base_features(t) for t in cols[3]]
+        yield {"doc_id": cols[0], "host": cols[1], "hash": cols[2]} | {k: [r[k] for r in rows] for k in (*_FEATURES, "lines", "line_words")}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lines array<long>, line_words array<long>"
-    return cut(map_rows(docs.select("doc_id", F.coalesce(F.col(host).cast("string"), F.lit("")), "text"), measure, schema))
+    schema = f"doc_id {kind}, host string, hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lines array<long>, line_words array<long>"
+    return cut(map_rows(docs.select("doc_id", F.coalesce(F.col(host).cast("string"), F.lit("")), F.xxhash64("text"), "text"), measure, schema))
 
 
 def _excess(measured: DataFrame) -> DataFrame:
@@ -113,23 +115,28 @@ def judge_documents(docs: DataFrame, host: str = "source") -> DataFrame:
 def clean_documents(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows of kept documents, all columns, their texts without the lines above the limit."""
     measured = _measured(docs, host)
-    lost = _excess(measured).groupBy("doc_id").agg(F.collect_set(F.struct("key", "words")).alias("s"))
-    judged = (
-        measured.where(~F.col("base_failed")).join(lost, "doc_id", "left")
-        .withColumn("gone", F.aggregate(F.coalesce("s", F.expr("array()").cast(lost.schema["s"].dataType)), F.lit(0).cast("long"), lambda a, x: a + x["words"]))
-        .where(F.col("n_words") - F.col("gone") >= F.col("n_words") * F.lit(KEEP_SHARE))
-        .groupBy("doc_id").agg(F.first(F.coalesce(F.col("s.key"), F.expr("array()").cast("array<bigint>"))).alias("__gone"))
-    )
+    keys = F.coalesce(F.col("s.key"), F.expr("array()").cast("array<bigint>"))
+    words = F.coalesce(F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["words"]), F.lit(0).cast("long"))
+    lost = _excess(measured).groupBy("doc_id").agg(F.collect_set(F.struct("key", "words")).alias("s")).select("doc_id", keys.alias("gone"), words.alias("gone_words"))
+    left = F.col("n_words") - F.coalesce("gone_words", F.lit(0).cast("long"))
+    passed = measured.where(~F.col("base_failed")).join(lost, "doc_id", "left").where(left >= F.col("n_words") * F.lit(KEEP_SHARE))
+    # a decision for each text of an id
+    out, doc, text_hash = fresh(docs, "__gone"), fresh(docs, "__doc"), fresh(docs, "__hash")
+    decided = passed.groupBy(F.col("doc_id").alias(doc), F.col("hash").alias(text_hash)).agg(F.first("gone").alias(out))
     names = docs.columns
-
-    def strip(cols):
-        at = names.index("text")
-        texts = []
-        for t, gone in zip(cols[at], cols[-1]):
-            out = set(gone)
-            texts.append("\n".join(x for x in t.split("\n") if not (k := line_key(x.encode("utf-8", "replace")))[1] or k[0] not in out) if t and out else t)
-        yield dict(zip(names, cols)) | {"text": texts}
-
-    joined = docs.join(judged, "doc_id").select(*names, "__gone")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_rows(joined, strip, fields)
+    joined = docs.join(decided, docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(text_hash))).select(*[F.col(f"`{c}`") for c in names], out)
+    at = names.index("text")
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for t, gone in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
+                if gone:
+                    drop = set(gone)
+                    t = "\n".join(x for x in t.split("\n") if not (k := line_key(x.encode("utf-8", "replace")))[1] or k[0] not in drop)
+                texts.append(t)
+            cols = list(batch.columns[: len(names)])
+            cols[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return joined.mapInArrow(strip, docs.schema)
