@@ -601,3 +601,73 @@ def sync_extract_sql(spark, d):
     register(spark)
     turns = table(spark, d, "conversations")
     return spark.sql("SELECT conv_id, turn, doc_text(encode(text, 'UTF-8'), 'text/csv', 'text/plain') AS text FROM {turns}", turns=turns)
+
+
+# --- requests --------------------------------------------------------------------------------
+
+
+def _requests(spark, d) -> DataFrame:
+    """A request for each page; what it asks for turns with its number."""
+    i = F.col("page_id")
+    body = F.when(i % 7 == 6, F.lit("")).otherwise(F.col("html"))
+    target = F.when(i % 5 == 0, "html").when(i % 5 == 1, "docx").when(i % 5 == 2, "zip").when(i % 5 == 3, "application/pdf").otherwise(" ")
+    return table(spark, d, "pages").select(
+        i.alias("request_id"), F.encode(body, "UTF-8").alias("body"), F.when(i % 3 == 0, "text/csv").when(i % 3 == 1, M.OCTET).alias("content_type"), target.alias("target"),
+        F.when(i % 11 == 0, "nobody").when(i % 11 == 1, "OFFICE").when(i % 11 == 2, "core").alias("backend"), F.when(i % 4 == 0, "content").alias("detect"),
+    )
+
+
+_REQ = """SELECT page_id AS i, CASE WHEN page_id % 7 = 6 THEN '' ELSE html END AS body, CASE WHEN page_id % 3 = 0 AND page_id % 4 <> 0 THEN 'csv' WHEN page_id % 7 = 6 THEN 'none' ELSE 'html' END AS source,
+['html', 'docx', 'zip', 'pdf', ''][1 + page_id % 5] AS target, CASE page_id % 11 WHEN 0 THEN 'bad' WHEN 1 THEN 'office' WHEN 2 THEN 'core' END AS backend FROM pages"""
+_SR = _values(R.COMMERCIAL, "s, t")
+
+
+@query(f"""WITH q AS ({_REQ}), g AS (SELECT *, EXISTS (SELECT 1 FROM {_SR} WHERE s = source AND t = target) AS commercial FROM q)
+SELECT i AS request_id, CASE WHEN body = '' OR target = '' OR backend = 'bad' THEN 400 WHEN backend = 'office' THEN 503 WHEN backend = 'core' OR NOT commercial THEN 415 ELSE 503 END AS status, 'application/json' AS content_type FROM g""")
+def http_convert_status(spark, d):
+    from docloom.plans.requests import convert_requests
+
+    return convert_requests(spark, _requests(spark, d)).select("request_id", "status", "content_type")
+
+
+@query("""SELECT conv_id AS request_id, 200 AS status, 'text/plain' AS content_type, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id""")
+def http_convert_body(spark, d):
+    from docloom.plans.requests import convert_requests
+
+    asked = _talks(spark, d).select(F.col("conv_id").alias("request_id"), F.encode("text", "UTF-8").alias("body"), F.lit("text/markdown").alias("content_type"), F.lit("txt").alias("target"), F.lit(None).cast("string").alias("backend"), F.lit(None).cast("string").alias("detect"))
+    return convert_requests(spark, asked).select("request_id", "status", "content_type", T.decode_utf8(F.col("body")).alias("body"))
+
+
+@query(f"""SELECT conv_id, CAST(i AS INT) AS index, lpad(CAST(i + 1 AS VARCHAR), CAST(length(CAST(n AS VARCHAR)) AS INT), '0') || '__Paragraph ' || (i + 1) || '.txt' AS label, text FROM ({_TURNS})""")
+def http_split_archive(spark, d):
+    from docloom.plans.requests import split_requests
+
+    asked = _talks(spark, d).select(F.col("conv_id").alias("request_id"), F.encode("text", "UTF-8").alias("body"), F.lit("text/plain").alias("content_type"), F.lit(None).cast("string").alias("backend"), F.lit(None).cast("string").alias("detect"))
+    zipped = split_requests(spark, asked).where("status = 200").select(F.col("request_id").alias("conv_id"), F.col("body").alias("content"))
+    return archive.split_archives(zipped).select("conv_id", "index", "label", T.decode_utf8(F.col("content")).alias("text"))
+
+
+@query(f"""WITH t AS (SELECT string_agg('"' || target || '"', ',' ORDER BY target) AS targets FROM ({_ROUTES}) WHERE source = 'text/csv' AND target IN (SELECT target FROM {_SERVER}))
+SELECT conv_id AS request_id, '{{"mime":"text/csv","size":' || octet_length(encode(string_agg(text, chr(10) || chr(10) ORDER BY turn))) || ',"canSplit":true,"fragmentCount":' ||
+len(list_filter(string_split(string_agg(text, chr(10) || chr(10) ORDER BY turn), chr(10))[2:], lambda x: trim(x) <> '')) || ',"availableConversions":[' || (SELECT targets FROM t) || ']}}' AS json FROM conversations GROUP BY conv_id""")
+def http_info(spark, d):
+    from docloom.plans.requests import info_requests
+
+    asked = _talks(spark, d).select(F.col("conv_id").alias("request_id"), F.encode("text", "UTF-8").alias("body"), F.lit("text/csv").alias("content_type"), F.lit(None).cast("string").alias("backend"), F.lit(None).cast("string").alias("detect"))
+    return info_requests(spark, asked)
+
+
+@query(f"""SELECT '{{"conversions":[' || (SELECT string_agg('{{"from":"' || source || '","to":"' || target || '"}}', ',' ORDER BY source, target) FROM ({_MATRIX})) || '],"inputTypes":[' ||
+(SELECT string_agg('"' || mime || '"', ',' ORDER BY mime) FROM ({ORACLE["capability_types"]}) WHERE direction = 'input') || '],"outputTypes":[' || (SELECT string_agg('"' || mime || '"', ',' ORDER BY mime) FROM ({ORACLE["capability_types"]}) WHERE direction = 'output') || ']}}' AS json""")
+def http_capabilities(spark, d):
+    from docloom.plans.requests import capabilities_json
+
+    return capabilities_json(spark)
+
+
+@query("SELECT doc_id, '{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"size\":' || octet_length(encode(text)) || '}' AS json, '<document><doc_id>' || doc_id || '</doc_id><lang>' || lang || '</lang></document>' AS xml FROM documents")
+def info_printers(spark, d):
+    docs = table(spark, d, "documents")
+    as_json = F.to_json(F.struct("doc_id", "lang", F.octet_length("text").alias("size")))
+    as_xml = F.concat(F.lit("<document><doc_id>"), F.col("doc_id").cast("string"), F.lit("</doc_id><lang>"), T.escape_xml(F.col("lang")), F.lit("</lang></document>"))
+    return docs.select("doc_id", as_json.alias("json"), as_xml.alias("xml"))
