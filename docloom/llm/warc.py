@@ -20,6 +20,7 @@ payload); a null id is kept, and is never the one referred to; other columns are
 from __future__ import annotations
 
 import base64
+import contextlib
 import os
 import struct
 import uuid
@@ -78,11 +79,13 @@ def publish(tmp: str, path: str) -> None:
 
 
 def remove(path: str) -> None:
-    if local := _local(path):
-        os.remove(local)
-    else:
-        store, inner = _store(path)
-        store.delete_file(inner)
+    """A file that is gone already stays gone: tasks may be repeated."""
+    with contextlib.suppress(FileNotFoundError):
+        if local := _local(path):
+            os.remove(local)
+        else:
+            store, inner = _store(path)
+            store.delete_file(inner)
 
 
 # --- records ---------------------------------------------------------------------------------
