@@ -11,7 +11,7 @@ From the template's root the content slot is found by going down while one eleme
 that is in running blocks, isn't linked and isn't in a part that its name marks as no article (menus, adverts, ...).
 What is extracted from a page is that element's slots without such parts, and without text tokens of the template (blocks
 repeated on most pages of the host). Hosts of fewer than MIN_PAGES distinct pages share one template, deduced from all of
-them; a page that lacks the template's content element is taken by its own masses of text.
+them; a page that lacks the template's content element is taken by its only article, or its own masses of text.
 
 Defined cases: a null or empty html gives an empty text; a null or unreadable url is a host of its own; markup that is cut short or
 wrongly nested is read as far as it goes; equal pages of a host count once for the template, and each
@@ -66,7 +66,9 @@ def _element(name: str, attributes: str) -> tuple[str, bool, bool]:
     classes = ".".join(sorted(re.sub(r"\d+", "0", found.get("class", "").lower()).split()))
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     part = name in PARTS or bool(words & MARKS) or found.get("role", "").lower() in ROLES or hidden
-    return f"{name}.{classes}" if classes else name, part and name not in NEVER_PARTS, name == "header" or bool(words & HEADER_MARKS) and name not in NEVER_PARTS
+    # pages give these classes of their own
+    role = f"{name}.{classes}" if classes and name not in NEVER_PARTS else name
+    return role, part and name not in NEVER_PARTS, name == "header" or bool(words & HEADER_MARKS) and name not in NEVER_PARTS
 
 
 class Page:
@@ -157,6 +159,18 @@ class Page:
         return out
 
 
+    def own_content(self) -> str:
+        """The page's only article or main element; else the single element that holds most of its mass."""
+        count: dict[str, int] = {}
+        for path in self.roles:
+            count[path] = count.get(path, 0) + 1
+        for name in ("article", "main"):
+            named = [p for p in self.roles if p.rpartition(">")[2] == name]
+            if len(named) == 1:
+                return named[0]
+        return descend({p: n for p, n in self.masses().items() if count[p] == 1})
+
+
 def text_key(path: str, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\n{text}".encode("utf-8", "replace")) - (1 << 63)
 
@@ -172,12 +186,10 @@ def descend(mass: dict[str, int]) -> str:
 
 
 def extract(source: str | None, content: str | None, repeated: frozenset[int] = frozenset()) -> str:
-    """The text of the content element's slots; of the element found by the page's own masses if it isn't there."""
+    """The text of the content element's slots; of the page's own content element if it isn't there."""
     page = Page(source)
     if not content or content not in page.roles:
-        # single elements only: a repeated one, as a paragraph, is no container
-        once = {p for p in page.roles if page.roles.count(p) == 1}
-        content = descend({p: n for p, n in page.masses().items() if p in once})
+        content = page.own_content()
     inside = content + ">"
     return "\n".join(t for path, t, _, out in page.blocks if not out and (not content or path == content or path.startswith(inside)) and text_key(path, t) not in repeated)
 
