@@ -193,6 +193,12 @@ def detect_lazily(content, filename) -> Column:
     return F.when(named != OCTET, named).otherwise(sniff(content))
 
 
+def detect_or_text(content, filename) -> Column:
+    """Content first; plain text gives way to what the name says, and what is unknown is plain text."""
+    found, named = sniff(content), from_filename(filename)
+    return F.when(found.isin("text/plain", OCTET), F.when(named != OCTET, named).otherwise("text/plain")).otherwise(found)
+
+
 def detect_request(header, content, force_sniff=None) -> Column:
     """A request's type: its header unless generic or absent, else its content."""
     given = parse(header)

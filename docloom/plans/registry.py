@@ -5,6 +5,8 @@ Three backends: `commercial` (licensed products), `office` (an external office p
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docloom.functions.mime import SHORT
@@ -156,3 +158,44 @@ def route_lineage(df: DataFrame, spark: SparkSession, backends: tuple[str, ...]
     """df(mime, target, ...) with implementation: identity for equal types, else the first backend with a route, else null."""
     best = routes(spark, backends).groupBy(F.col("source").alias("mime"), "target").agg(F.min_by("backend", "rank").alias("backend"))
     return df.join(F.broadcast(best), ["mime", "target"], "left").withColumn("implementation", F.when(F.col("mime") == F.col("target"), "identity").otherwise(F.col("backend"))).drop("backend")
+
+
+# Licensed products.
+PRODUCTS = ("words", "cells", "slides", "pdf", "email", "zip")
+
+
+def licensed_products(environment: Mapping[str, str]) -> list[str]:
+    """Products with a licence: all by DOCLOOM_LICENSE_TOTAL, else each by DOCLOOM_LICENSE_<PRODUCT>; DOCLOOM_LICENSE_OFF turns all off.
+
+    Only whether a variable is set is looked at; values are neither kept nor logged.
+    """
+    if environment.get("DOCLOOM_LICENSE_OFF", "").lower() in ("1", "true", "yes"):
+        return []
+    if environment.get("DOCLOOM_LICENSE_TOTAL"):
+        return list(PRODUCTS)
+    return [p for p in PRODUCTS if environment.get(f"DOCLOOM_LICENSE_{p.upper()}")]
+
+
+def backend_status(spark: SparkSession, environment: Mapping[str, str], office: bool = False) -> DataFrame:
+    """backend, available, routes, divisible: a report."""
+    ready = {"commercial": bool(licensed_products(environment)), "office": office, "core": True}
+    flags = spark.createDataFrame([(b, ready[b]) for b in BACKENDS], "backend string, available boolean")
+    n = routes(spark).groupBy("backend").agg(F.count("*").alias("routes"))
+    m = splits(spark).groupBy("backend").agg(F.count("*").alias("divisible"))
+    return flags.join(n, "backend", "left").join(m, "backend", "left").fillna(0, ["routes", "divisible"])
+
+
+def require_conversion(source: str, target: str) -> None:
+    """Fails, before any row is read, if no backend has the route of these short names."""
+    if (source, target) not in COMMERCIAL + OFFICE and target not in ("plain", "xml") and (source, target) != ("xlsx", "ods"):
+        raise LookupError(f"no conversion from {source} to {target}")
+
+
+def require_splitter(source: str) -> None:
+    if not any(source in s.split() for s in _SPLITS.values()):
+        raise LookupError(f"no splitter for {source}")
+
+
+def require_path(*types: str) -> None:
+    for a, b in zip(types, types[1:]):
+        require_conversion(a, b)

@@ -671,3 +671,19 @@ def info_printers(spark, d):
     as_json = F.to_json(F.struct("doc_id", "lang", F.octet_length("text").alias("size")))
     as_xml = F.concat(F.lit("<document><doc_id>"), F.col("doc_id").cast("string"), F.lit("</doc_id><lang>"), T.escape_xml(F.col("lang")), F.lit("</lang></document>"))
     return docs.select("doc_id", as_json.alias("json"), as_xml.alias("xml"))
+
+
+_BYNAME = _cases("lower(regexp_extract(name, '\\.([^.]+)$', 1))", M.BY_EXTENSION, "'text/plain'")
+
+
+@query(f"""WITH t AS (SELECT 'p' || page_id AS id, url AS name, html AS text FROM pages UNION ALL SELECT 'd' || doc_id, source || '.md', text FROM documents), s AS (SELECT *, {_SNIFF_SQL} AS sniffed FROM t)
+SELECT id, CASE WHEN sniffed IN ('text/plain', '{M.OCTET}') THEN {_BYNAME} ELSE sniffed END AS mime FROM s""")
+def detect_or_text(spark, d):
+    pages = table(spark, d, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("url").alias("name"), F.col("html").alias("text"))
+    docs = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.concat("source", F.lit(".md")).alias("name"), "text")
+    return pages.union(docs).select("id", M.detect_or_text(F.encode("text", "UTF-8"), F.col("name")).alias("mime"))
+
+
+@query(f"""SELECT * FROM (VALUES ('commercial', true, {len(R.COMMERCIAL)}::BIGINT, {len(R._SPLITS["commercial"].split())}::BIGINT), ('office', false, {len(R.OFFICE)}, 0), ('core', true, {2 * len({*M.SHORT.values()}) + 1}, {len(R._SPLITS["core"].split())})) v(backend, available, routes, divisible)""")
+def backend_status(spark, d):
+    return R.backend_status(spark, {"DOCLOOM_LICENSE_PDF": "x"})

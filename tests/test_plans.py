@@ -49,6 +49,29 @@ def test_fallback_order(spark):
         assert (r.v, r.e) == (("second" if r.b is None else None, r.b) if again else ("first" if r.a is None else None, r.a))
 
 
+def test_plan_time_checks():
+    R.require_path("html", "pdf", "pptx")
+    R.require_splitter("csv")
+    for bad in (lambda: R.require_path("html", "zip"), lambda: R.require_splitter("odp")):
+        with pytest.raises(LookupError):
+            bad()
+    assert R.licensed_products({}) == [] and R.licensed_products({"DOCLOOM_LICENSE_CELLS": "x"}) == ["cells"]
+    assert R.licensed_products({"DOCLOOM_LICENSE_TOTAL": "x"}) == list(R.PRODUCTS) and R.licensed_products({"DOCLOOM_LICENSE_TOTAL": "x", "DOCLOOM_LICENSE_OFF": "true"}) == []
+
+
+def test_request_parameters(spark):
+    from docloom.functions.options import options_summary
+    from docloom.plans import requests as Q
+
+    given = {"sheet": F.lit("A, B,"), "paper_size": F.lit("a4"), "landscape": F.lit("no"), "exclude_hidden": F.lit("TRUE"), "evaluate_formulas": F.lit("false")}
+    bad = Q.parse_options({"paper_size": F.lit("b9")})
+    r = spark.range(1).select(options_summary(Q.parse_options(given)), options_summary(bad), *(Q.parse_backend(F.lit(b)) for b in ("Core", "", "x"))).first()
+    assert tuple(r) == ("no-evaluate-formulas, portrait, paper-size=A4, sheet=A,B, exclude-hidden", "", "core", None, "")
+    assert Q.health(spark).first().status == "healthy"
+    c = Q.server_config({"port": "9"}, {"PORT": "8", "HOST": "h"})
+    assert (c["port"], c["host"], c["task_timeout_ms"]) == (9, "h", 120000)
+
+
 def test_files_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a/x.txt", b"1"), ("b.pdf", b"%PDF-1"), ("c", b"<html>"), ("n", None)], "filename string, content binary")
     assert write_files(df, str(tmp_path)) == 3
