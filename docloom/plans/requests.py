@@ -34,7 +34,7 @@ def parse_options(params: dict[str, Column]) -> dict[str, Column]:
 
     out = dict(params)
     if "sheet" in out:
-        out["sheet_names"] = F.filter(F.transform(F.split(out.pop("sheet"), ","), F.trim), lambda s: s != "")
+        out["sheet_names"] = F.filter(F.transform(F.split(out.pop("sheet"), ","), lambda s: F.trim(s)), lambda s: s != "")
     if "paper_size" in out:
         size = out["paper_size"]
         out["paper_size"] = F.coalesce(*(F.when(F.lower(size) == p.lower(), F.lit(p)) for p in PAPER_SIZES))
