@@ -30,7 +30,7 @@ from collections.abc import Iterator
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from docloom.llm.common import cut, map_rows, shared_dir
+from docloom.llm.common import cut, key_side, map_rows, shared_dir
 
 MIN_REVISIT = 1000
 CHUNK = 1 << 18
@@ -204,9 +204,13 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes every row as a record, an archive per partition; returns (path, records) of the archives, already written."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     full = pages.select("page_id", "url", body.alias("payload"), F.length(body).cast("long").alias("n_bytes"), F.sha1(body).alias("digest"))
-    # only ids, lengths and digests are grouped; the join splits digests with many copies
-    newest = full.where(F.col("n_bytes") >= MIN_REVISIT).groupBy("digest", "n_bytes").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1").select("digest", "n_bytes", "newest")
-    typed = full.join(cut(newest), ["digest", "n_bytes"], "left").select("page_id", "url", "payload", "n_bytes", "digest", F.when(F.col("page_id").isNull() | (F.col("newest") != F.col("page_id")), F.col("newest")).alias("refers_to"))
+    # only ids, lengths and digests are grouped and joined; payloads stay with their rows as long as the revisits can be broadcast
+    slim = full.select("page_id", "n_bytes", "digest").where(F.col("n_bytes") >= MIN_REVISIT)
+    newest = cut(slim.groupBy("digest", "n_bytes").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1").select("digest", "n_bytes", "newest"))
+    older = slim.join(key_side(newest), ["digest", "n_bytes"]).where("page_id IS NULL OR page_id <> newest")
+    revisits = key_side(cut(older.select(F.col("page_id").alias("older_id"), F.col("digest").alias("older_digest"), "newest").distinct()))
+    same = full["page_id"].eqNullSafe(F.col("older_id")) & (full["digest"] == F.col("older_digest"))
+    typed = full.join(revisits, same, "left").select("page_id", "url", "payload", "n_bytes", "digest", F.col("newest").alias("refers_to"))
 
     def write(batches):
         import pyarrow as pa
