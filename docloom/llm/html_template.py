@@ -7,8 +7,8 @@ are an equivalence class. A class is valid if it is in MIN_SUPPORT of the pages
 tokens are nested or ordered (their mean places agree with their paths). Valid classes nest by path into the template,
 with the text that varies in the slots between their tokens.
 
-From the template's root the content slot is found by going down while one element holds CONTENT_SHARE of the text
-that is in running blocks, isn't linked and isn't in a part that its name marks as no article (menus, adverts, ...).
+The content slot is that of the template's only article (or main) element if it has ARTICLE_SHARE of the text, else it is
+found from the root by going down while one element holds CONTENT_SHARE of it; text counts that is in running blocks, isn't linked and isn't in a part that its name marks as no article (menus, adverts, ...).
 What is extracted from a page is that element's slots without such parts, and without text tokens of the template (blocks
 repeated on most pages of the host). Hosts of fewer than MIN_PAGES distinct pages share one template, deduced from all of
 them; a page that lacks the template's content element is taken by its only article, or its own masses of text.
@@ -34,17 +34,23 @@ from docloom.llm.common import cut, key_side
 MIN_PAGES = 4
 MIN_SUPPORT = 0.5
 CONTENT_SHARE = 0.8
+ARTICLE_SHARE = 0.3
 #: A text block is of the template if it is in this share of a host's distinct pages, of MIN_TEXT_PAGES at least.
 TEXT_SUPPORT = 0.6
 MIN_TEXT_PAGES = 8
 
 # Kinds of elements, and names of parts that are no article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea xmp noscript template iframe svg math object select button canvas audio video".split())
+RAW = frozenset("script style title textarea xmp noscript template iframe".split())
+#: As RAW, if their end is there.
+DROPPED = frozenset("svg math object select button canvas audio video".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PARTS = frozenset("nav footer aside form menu dialog head".split())
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising sponsored sponsor promo banner cookie cookies consent gdpr notice notices notification sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus replies reply related recommended share sharing social newsletter subscribe signup login popup modal overlay widget pagination pager search".split())
+MARK_STEMS = ("comment", "advert", "sponsor", "cookie", "sidebar", "breadcrumb", "newsletter", "navbar", "subscri")
 HEADER_MARKS = frozenset("header masthead topbar".split())
+#: Names that make a header that of the article.
+ARTICLE_MARKS = frozenset("entry post article content story".split())
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alert form menu".split())
 NEVER_PARTS = frozenset("html body article main".split())
 #: An opening tag closes open elements of its own kind among these, down to the container given.
@@ -65,10 +71,10 @@ def _element(name: str, attributes: str) -> tuple[str, bool, bool]:
     words = set(_NAME.findall(named))
     classes = ".".join(sorted(re.sub(r"\d+", "0", found.get("class", "").lower()).split()))
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    part = name in PARTS or bool(words & MARKS) or found.get("role", "").lower() in ROLES or hidden
+    part = name in PARTS or bool(words & MARKS) or any(w.startswith(MARK_STEMS) for w in words) or found.get("role", "").lower() in ROLES or hidden
     # pages give these classes of their own
     role = f"{name}.{classes}" if classes and name not in NEVER_PARTS else name
-    return role, part and name not in NEVER_PARTS, name == "header" or bool(words & HEADER_MARKS) and name not in NEVER_PARTS
+    return role, part and name not in NEVER_PARTS, (name == "header" or bool(words & HEADER_MARKS)) and name not in NEVER_PARTS and not words & ARTICLE_MARKS
 
 
 class Page:
@@ -117,10 +123,11 @@ class Page:
                     self._close((name,))
                 elif name == "a":
                     self._anchors = 0
-            elif name in RAW:
+            elif name in RAW or name in DROPPED:
                 self._add(" ")
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
+                if not m[3].endswith("/") or name in RAW and name not in ("iframe", "template"):
+                    end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
+                    at = end.end() if end else len(source) if name in RAW else at
             elif name == "br":
                 self._add(" ")
             elif name in BLOCK:
@@ -164,11 +171,7 @@ class Page:
         count: dict[str, int] = {}
         for path in self.roles:
             count[path] = count.get(path, 0) + 1
-        for name in ("article", "main"):
-            named = [p for p in self.roles if p.rpartition(">")[2] == name]
-            if len(named) == 1:
-                return named[0]
-        return descend({p: n for p, n in self.masses().items() if count[p] == 1})
+        return content_of({p: n for p, n in self.masses().items() if count[p] == 1})
 
 
 def text_key(path: str, text: str) -> int:
@@ -185,6 +188,16 @@ def descend(mass: dict[str, int]) -> str:
     return best
 
 
+def content_of(mass: dict[str, int]) -> str:
+    """The only article element, or else main element, with a fair part of the mass; else the deepest that holds most of it."""
+    total = max(mass.values(), default=0)
+    for name in ("article", "main"):
+        named = [p for p in mass if p.rpartition(">")[2] == name]
+        if len(named) == 1 and mass[named[0]] >= ARTICLE_SHARE * total:
+            return named[0]
+    return descend(mass)
+
+
 def extract(source: str | None, content: str | None, repeated: frozenset[int] = frozenset()) -> str:
     """The text of the content element's slots; of the page's own content element if it isn't there."""
     page = Page(source)
@@ -230,7 +243,7 @@ def _deduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # an element comes before what it holds
                 if all(place.get(p.rpartition(">")[0], -1) < x for p, x in place.items()):
                     template |= {t["path"]: t["mass"] for t in own}
-            contents.append(descend({p: n for p, n in template.items() if n}))
+            contents.append(content_of({p: n for p, n in template.items() if n}))
             repeats.append([t["text"] for t in tokens if t["text"] and t["support"] >= max(MIN_TEXT_PAGES, TEXT_SUPPORT * pages)])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.string()), pa.array(repeats, pa.list_(pa.int64()))], names=["host", "content", "repeated"])
 

@@ -33,6 +33,14 @@ def test_article_header_is_kept_and_parts_are_not():
     assert extract(html, None) == "Head\nAbc\nD e"
 
 
+def test_parts_and_broken_markup():
+    wrap = lambda x: page(1, f"<div class='entry-header'><h1>T</h1></div><div id='main'>{x}</div>")[2]
+    assert extract(wrap("<p>a <svg/> b <button>no</button><button>c</p><ol class='commentlist'><li>no</ol><div class='advert-1'>no</div>" + "<p>" + "w " * 50), None).split("\n")[-2:] == ["a b c", ("w " * 50).strip()]
+    assert extract("<body><main><p>x</p></main><main><p>" + "y " * 30 + "</p></main>", None) == "x\n" + ("y " * 30).strip()
+    assert extract("<div><p>one<p>two<table><tr><td>c1<td>c2</table><script>never closed <p>no", None) == "one\ntwo\nc1\nc2"
+    assert extract("a < b &lt;i&gt; &#233;&eacute;&bogus; <!-- c", None) == "a < b <i> éé&bogus;"
+
+
 def stream_of(rows_):
     return gzip.compress(b"".join(rows_))
 
