@@ -24,6 +24,9 @@ had words and has none left goes in `dedup_documents`; other columns pass throug
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from docloom.llm.common import cut, fresh, key_side
@@ -35,7 +38,9 @@ _KEYS = ("first0", "last0", "first1", "last1")
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, norm) of every line with words; texts are normalised before they are split, so once."""
-    text = F.regexp_replace(F.lower("text"), "[ \\t\\x0b\\f\\r]*[\\t\\x0b\\f\\r][ \\t\\x0b\\f\\r]*|  +", " ")
+    # most texts have no white space that the pattern would change, and skip it
+    odd = reduce(or_, (F.contains("text", F.lit(s)) for s in ("  ", "\t", "\x0b", "\f", "\r")))
+    text = F.when(odd, F.regexp_replace(F.lower("text"), "[ \\t\\x0b\\f\\r]*[\\t\\x0b\\f\\r][ \\t\\x0b\\f\\r]*|  +", " ")).otherwise(F.lower("text"))
     text = F.replace(F.replace(text, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
     split = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(F.split(F.trim(text), "\n", -1)).alias("line_no", "norm"))
     return split.where("norm <> ''")
