@@ -164,12 +164,13 @@ def sniff(content) -> Column:
 
     Office containers are told apart by the names in their first 4 KB (stored uncompressed in ZIP headers).
     """
+    content = F.col(content) if isinstance(content, str) else content
     head = F.substring(content, 1, 4096)
-    hexed = F.hex(head)
+    hexed = F.hex(F.substring(content, 1, 264))
     out = F.when(F.length(content) == 0, OCTET)
     for magic, mime in _MAGIC:
         out = out.when(hexed.startswith(magic), mime)
-    has = lambda s: F.instr(hexed, s.encode().hex().upper()) > 0
+    has = lambda s: F.contains(head, F.lit(s.encode()))
     zipped = hexed.startswith("504B0304")
     for part, short in (("mimetypeapplication/vnd.oasis.opendocument.text", "odt"), ("mimetypeapplication/vnd.oasis.opendocument.spreadsheet", "ods"), ("mimetypeapplication/vnd.oasis.opendocument.presentation", "odp"), ("mimetypeapplication/vnd.oasis.opendocument.graphics", "odg"), ("word/", "docx"), ("xl/", "xlsx"), ("ppt/", "pptx")):
         out = out.when(zipped & has(part), SHORT[short])
@@ -178,7 +179,7 @@ def sniff(content) -> Column:
     text = F.lower(F.ltrim(F.make_valid_utf8(F.substring(head, 1, 256).cast("string"))))
     out = out.when(text.startswith("<!doctype html") | text.startswith("<html"), SHORT["html"]).when(text.startswith("<?xml"), SHORT["xml"])
     out = out.when(text.rlike(r"^(from|received|mime-version|return-path|message-id):"), SHORT["eml"])
-    return out.when(F.is_valid_utf8(content.cast("string") if isinstance(content, Column) else F.col(content).cast("string")) & (F.instr(hexed, "00") % 2 == 0), SHORT["txt"]).otherwise(OCTET)
+    return out.when(~F.contains(head, F.lit(b"\x00")) & F.is_valid_utf8(content.cast("string")), SHORT["txt"]).otherwise(OCTET)
 
 
 def detect(content, filename) -> Column:

@@ -6,6 +6,8 @@ aggregations over such arrays; `operators.pdf` applies them to files.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Commands that may follow the last text block in a watermark.
@@ -16,22 +18,29 @@ MIN_PREFIX = 10
 
 
 def command(op: Column) -> Column:
-    return F.element_at(F.split(F.trim(op), " "), -1)
+    return F.substring_index(F.trim(op), " ", -1)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def trailing_ops(ops) -> Column:
     """The operators after the last ET; all if there is none."""
-    flags = F.transform(ops, lambda o: command(o) == "ET")
-    last = F.size(ops) - F.coalesce(F.array_position(F.reverse(flags), F.lit(True)).cast("int"), F.lit(0)) + 1
-    return F.when(F.array_contains(flags, F.lit(True)), F.slice(ops, last + 1, F.size(ops))).otherwise(ops)
+    after = lambda o, last: F.when(last > 0, F.slice(o, F.size(o) - last + 2, F.greatest(last - 1, F.lit(0)))).otherwise(o)
+    place = lambda o: F.array_position(F.reverse(F.transform(o, command)), F.lit("ET")).cast("int")
+    return _once(ops, lambda o: _once(F.struct(o.alias("o"), place(o).alias("last")), lambda s: after(s["o"], s["last"])))
 
 
 def trailing_count(ops) -> Column:
     """Operators that can be removed: none if any of them is unsafe or none draws."""
-    tail = trailing_ops(ops)
-    safe = F.forall(tail, lambda o: command(o).isin(WRAPPERS + PATHS + PAINTS))
-    draws = F.exists(tail, lambda o: command(o).isin(PATHS + PAINTS))
-    return F.when(safe & draws, F.size(tail)).otherwise(0)
+
+    def count(commands: Column) -> Column:
+        safe = F.forall(commands, lambda c: c.isin(WRAPPERS + PATHS + PAINTS))
+        return F.when(safe & F.exists(commands, lambda c: c.isin(PATHS + PAINTS)), F.size(commands)).otherwise(0)
+
+    return _once(F.transform(trailing_ops(ops), command), count)
 
 
 def normalize_op(op: Column) -> Column:
