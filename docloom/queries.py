@@ -39,7 +39,7 @@ def _cases(name: str, pairs: dict[str, str], default: str) -> str:
 _TRIM = "regexp_replace({0}, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')"
 _PARTS = f"list_filter(list_transform(string_split_regex({{0}}, '\\n[\\s\\x0b]*\\n'), lambda p: {_TRIM.format('p')}), lambda p: length(p) > 0)"
 _TALK = "SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"
-_NUMBERED = "SELECT doc_id, source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY source) AS n FROM documents"
+_NUMBERED = "SELECT doc_id, source, lang, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY doc_id // 100) AS n FROM documents"
 _NAME = "lpad(CAST(i AS VARCHAR), CAST(length(CAST(n AS VARCHAR)) AS INT), '0') || '__' || regexp_replace(source || ': ' || lang, '[\\\\/:*?\"<>|]', '_', 'g') || '.txt'"
 
 
@@ -178,7 +178,8 @@ def first_or_fail(spark, d):
 
 
 def _numbered(spark, d) -> DataFrame:
-    own = Window.partitionBy("source")
+    """Documents numbered within packages of up to a hundred: no package grows with the corpus."""
+    own = Window.partitionBy(F.floor(F.col("doc_id") / 100))
     return table(spark, d, "documents").withColumn("i", F.row_number().over(own.orderBy("doc_id"))).withColumn("n", F.count("*").over(own))
 
 
@@ -186,7 +187,7 @@ def _filename() -> Column:
     return naming.fragment_filename(F.col("i"), F.col("n"), F.concat("source", F.lit(": "), "lang"), M.extension_for(F.lit("text/plain")))
 
 
-@query(f"SELECT doc_id, {_NAME} AS filename FROM ({_NUMBERED.replace('text,', 'lang,')})")
+@query(f"SELECT doc_id, {_NAME} AS filename FROM ({_NUMBERED})")
 def fragment_filenames(spark, d):
     return _numbered(spark, d).select("doc_id", _filename().alias("filename"))
 
