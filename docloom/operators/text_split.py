@@ -7,13 +7,17 @@ from pyspark.sql import DataFrame, functions as F
 from docloom.functions.text import trim_controls
 
 
+def paragraphs(text) -> F.Column:
+    """The paragraphs of a text as an array: between blank lines, trimmed, without blank ones."""
+    return F.filter(F.transform(F.split(text, "\n\\s*\n"), trim_controls), lambda p: F.length(p) > 0)
+
+
 def split_paragraphs(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, index, label, total, text of the paragraphs between blank lines; blank ones don't count.
 
     Null and blank texts give no rows.
     """
-    parts = F.filter(F.transform(F.split(F.col(text), "\n\\s*\n"), trim_controls), lambda p: F.length(p) > 0)
-    found = df.select(*keep, parts.alias("__parts"))
+    found = df.select(*keep, paragraphs(F.col(text)).alias("__parts"))
     return found.select(*keep, F.size("__parts").alias("total"), F.posexplode("__parts").alias("index", "text")).select(*keep, "index", F.concat(F.lit("Paragraph "), (F.col("index") + 1).cast("string")).alias("label"), "total", "text")
 
 

@@ -118,15 +118,15 @@ def _types(spark: SparkSession, shorts: list[str], name: str) -> DataFrame:
 
 
 def capability_matrix(spark: SparkSession, backends: tuple[str, ...] = BACKENDS) -> DataFrame:
-    """source, target of every conversion between report types and targets; a product of two fixed lists of 24 and 18."""
-    pairs = _types(spark, REPORT_TYPES, "source").crossJoin(_types(spark, REPORT_TARGETS, "target")).where("source <> target")
+    """source, target of every conversion between report types and targets, two fixed lists of 24 and 18."""
+    pairs = spark.createDataFrame([(mime(a), mime(b)) for a in REPORT_TYPES for b in REPORT_TARGETS if a != b], "source string, target string")
     return pairs.join(F.broadcast(routes(spark, backends).select("source", "target").distinct()), ["source", "target"], "left_semi")
 
 
 def capability_types(spark: SparkSession, backends: tuple[str, ...] = BACKENDS) -> DataFrame:
     """direction, mime: the inputs and outputs of all capabilities, distinct and in order."""
     found = capability_matrix(spark, backends)
-    divided = splits(spark, backends).select("source").join(_types(spark, REPORT_TYPES, "source"), "source", "left_semi")
+    divided = splits(spark, backends).select("source").join(F.broadcast(_types(spark, REPORT_TYPES, "source")), "source", "left_semi")
     inputs = found.select("source").union(divided).distinct().select(F.lit("input").alias("direction"), F.col("source").alias("mime"))
     return inputs.union(found.select(F.lit("output"), "target").distinct()).orderBy("direction", "mime")
 
@@ -182,7 +182,7 @@ def backend_status(spark: SparkSession, environment: Mapping[str, str], office:
     flags = spark.createDataFrame([(b, ready[b]) for b in BACKENDS], "backend string, available boolean")
     n = routes(spark).groupBy("backend").agg(F.count("*").alias("routes"))
     m = splits(spark).groupBy("backend").agg(F.count("*").alias("divisible"))
-    return flags.join(n, "backend", "left").join(m, "backend", "left").fillna(0, ["routes", "divisible"])
+    return flags.join(F.broadcast(n), "backend", "left").join(F.broadcast(m), "backend", "left").fillna(0, ["routes", "divisible"])
 
 
 def require_conversion(source: str, target: str) -> None:

@@ -164,9 +164,13 @@ def health(spark: SparkSession, office: bool = False) -> DataFrame:
 
 def capabilities_json(spark: SparkSession) -> DataFrame:
     """One row: the capability report as JSON. The lists have at most 24 x 18 entries."""
-    pairs = registry.capability_matrix(spark).groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col("source").alias("from"), F.col("target").alias("to")))).alias("conversions"))
-    types = registry.capability_types(spark).groupBy().agg(F.array_sort(F.collect_list(F.when(F.col("direction") == "input", F.col("mime")))).alias("inputTypes"), F.array_sort(F.collect_list(F.when(F.col("direction") == "output", F.col("mime")))).alias("outputTypes"))
-    return pairs.crossJoin(types).select(F.to_json(F.struct("conversions", "inputTypes", "outputTypes")).alias("json"))
+    divided = {registry.mime(s) for names in registry._SPLITS.values() for s in names.split()} & {registry.mime(s) for s in registry.REPORT_TYPES}
+    found = registry.capability_matrix(spark).groupBy().agg(
+        F.array_sort(F.collect_list(F.struct(F.col("source").alias("from"), F.col("target").alias("to")))).alias("conversions"),
+        F.array_sort(F.array_union(F.collect_set("source"), F.array(*map(F.lit, sorted(divided))))).alias("inputTypes"),
+        F.array_sort(F.collect_set("target")).alias("outputTypes"),
+    )
+    return found.select(F.to_json(F.struct("conversions", "inputTypes", "outputTypes")).alias("json"))
 
 
 def server_config(given: dict[str, str], environment: dict[str, str]) -> dict[str, object]:

@@ -519,9 +519,15 @@ _BYTES = "octet_length(encode(text))"
 @query(f"""SELECT doc_id, CAST({_BYTES} AS BIGINT) AS size, CASE WHEN {_BYTES} < 1024 THEN {_BYTES} || ' B' WHEN {_BYTES} < 1048576 THEN printf('%.1f KB', round({_BYTES} / 1024.0::DOUBLE, 1)) ELSE printf('%.1f MB', round({_BYTES} / 1048576.0::DOUBLE, 1)) END AS size_text,
 nullif(CAST(len({_PARTS.format("text")}) AS BIGINT), 0) AS fragment_count FROM documents""")
 def document_info(spark, d):
-    docs = table(spark, d, "documents")
-    fragments = text_split.split_paragraphs(docs)
-    return info.with_fragment_counts(docs.select("doc_id", F.octet_length("text").cast("long").alias("size")), fragments).select("doc_id", "size", "size_text", "fragment_count")
+    size, n = F.octet_length("text").cast("long"), F.size(text_split.paragraphs(F.col("text"))).cast("long")
+    return table(spark, d, "documents").select("doc_id", size.alias("size"), T.format_size(size).alias("size_text"), F.nullif(n, F.lit(0).cast("long")).alias("fragment_count"))
+
+
+@query(f"SELECT shelf, CAST(sum(octet_length(encode(text))) AS BIGINT) AS size, count(*) AS fragment_count FROM ({_SHELF}) GROUP BY shelf")
+def archive_info(spark, d):
+    entries = archive.split_archives(archive.zip_fragments(_shelves(spark, d), ["shelf"]).select("shelf", "content"))
+    sizes = _shelves(spark, d).groupBy("shelf").agg(F.sum(F.length("content")).alias("size"))
+    return info.with_fragment_counts(sizes, entries, "shelf").select("shelf", "size", "fragment_count")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'filename=f' || doc_id || ';lang=' || lang || ';title=new' ELSE 'lang=' || lang || ';title=new' END AS entries, 'new' AS title FROM documents")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import udf, udtf
 
 from docloom.functions.mime import SHORT
 from docloom.operators.convert import _SHORT_OF, converter, first_success, splitter
@@ -31,7 +31,7 @@ def extract_text(content: bytes | None, source: str, target: str = "text/plain")
     return None if out is None else out.decode("utf-8", "replace")
 
 
-@udtf(returnType=FRAGMENT)
+@udtf(returnType=FRAGMENT, useArrow=True)
 class SplitBytes:
     """(content, mime) to rows of content, mime, index, label, total."""
 
@@ -43,6 +43,6 @@ class SplitBytes:
 
 
 def register(spark: SparkSession) -> None:
-    spark.udf.register("doc_convert", convert_bytes, "binary")
-    spark.udf.register("doc_text", extract_text, "string")
+    spark.udf.register("doc_convert", udf(convert_bytes, "binary", useArrow=True))
+    spark.udf.register("doc_text", udf(extract_text, "string", useArrow=True))
     spark.udtf.register("doc_split", SplitBytes)
