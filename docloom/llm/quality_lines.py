@@ -21,11 +21,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from docloom.llm.common import cut, fresh, key_side, map_rows
+from docloom.llm.common import cut, fresh, key_side, map_rows, small
 
 MIN_LINE_DOCS = 20
 LINE_SHARE = 0.02
 KEEP_SHARE = 0.5
+#: Lines above the limit up to which every task gets all of them: about 20 MB.
+ABOVE_LINES = 100_000
 
 # The base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -87,17 +89,26 @@ def _measured(docs: DataFrame, host: str) -> DataFrame:
     return cut(map_rows(docs.select("doc_id", F.coalesce(F.col(host).cast("string"), F.lit("")), F.xxhash64("text"), "text"), measure, schema))
 
 
-def _excess(measured: DataFrame) -> DataFrame:
-    """(doc_id, key, words) of the lines to be removed."""
-    lines = measured.select("doc_id", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("doc_id", "host", F.col("l.lines").alias("key"), F.col("l.line_words").alias("words"))
+def _lines(measured: DataFrame) -> DataFrame:
+    return measured.select("doc_id", "hash", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("doc_id", "hash", "host", F.col("l.lines").alias("key"), F.col("l.line_words").alias("words"))
+
+
+def _above(measured: DataFrame) -> DataFrame:
+    """(host, key, first_doc) of the lines above the limit."""
+    lines = _lines(measured)
     hosts = measured.groupBy("host").agg(F.count_distinct("doc_id").alias("host_docs"))
     counted = (
         lines.groupBy("host", "key", "doc_id").agg(F.lit(1).alias("one"))
         .groupBy("host", "key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
         .where(F.col("docs") > MIN_LINE_DOCS)
     )
-    above = cut(counted.join(hosts, "host").where(F.col("docs") > F.col("host_docs") * F.lit(LINE_SHARE)).select("host", "key", "first_doc"))
-    return lines.join(key_side(above), ["host", "key"]).where("doc_id <> first_doc").select("doc_id", "key", "words")
+    return cut(counted.join(hosts, "host").where(F.col("docs") > F.col("host_docs") * F.lit(LINE_SHARE)).select("host", "key", "first_doc"))
+
+
+def _excess(measured: DataFrame, above: DataFrame) -> DataFrame:
+    """doc_id, hash, gone (keys), n_removed_words of the texts with lines to be removed."""
+    found = _lines(measured).join(key_side(above), ["host", "key"]).where("doc_id <> first_doc").select("doc_id", "hash", "key", "words").distinct()
+    return found.groupBy("doc_id", "hash").agg(F.collect_set("key").alias("gone"), F.sum("words").alias("n_removed_words"))
 
 
 def judge_documents(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -106,37 +117,58 @@ def judge_documents(docs: DataFrame, host: str = "source") -> DataFrame:
     Texts are read once by a narrow map; only hashes of lines are shuffled, counted map-side first.
     """
     measured = _measured(docs, host)
-    lost = _excess(measured).groupBy("doc_id").agg(F.collect_set(F.struct("key", "words")).alias("s")).select("doc_id", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("n_removed_words"))
-    joined = measured.join(lost, "doc_id", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
+    lost = _excess(measured, _above(measured)).select("doc_id", "hash", "n_removed_words")
+    joined = measured.join(lost, ["doc_id", "hash"], "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
     left = F.col("n_words") - F.col("n_removed_words")
     return joined.select("doc_id", *_FEATURES, (~F.col("base_failed") & (left >= F.col("n_words") * F.lit(KEEP_SHARE))).alias("kept"), "n_removed_words")
 
 
 def clean_documents(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of kept documents, all columns, their texts without the lines above the limit."""
+    """The rows of kept documents, all columns, their texts without the lines above the limit.
+
+    If the lines above the limit are ABOVE_LINES at most (they are counted first), each task gets all of them and the texts
+    are cleaned where they are read; else what is to be removed is joined to the texts.
+    """
     measured = _measured(docs, host)
-    keys = F.coalesce(F.col("s.key"), F.expr("array()").cast("array<bigint>"))
-    words = F.coalesce(F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["words"]), F.lit(0).cast("long"))
-    lost = _excess(measured).groupBy("doc_id").agg(F.collect_set(F.struct("key", "words")).alias("s")).select("doc_id", keys.alias("gone"), words.alias("gone_words"))
-    left = F.col("n_words") - F.coalesce("gone_words", F.lit(0).cast("long"))
-    passed = measured.where(~F.col("base_failed")).join(lost, "doc_id", "left").where(left >= F.col("n_words") * F.lit(KEEP_SHARE))
+    above = _above(measured)
+    names, at = docs.columns, docs.columns.index("text")
+    if small(above, ABOVE_LINES):
+        limits = docs.sparkSession.sparkContext.broadcast({(r.host, r.key): r.first_doc for r in above.collect()})
+        host_name = fresh(docs, "__host")
+        hosted = docs.withColumn(host_name, F.coalesce(F.col(host).cast("string"), F.lit("")))
+        doc_at = names.index("doc_id")
+
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first = limits.value
+            for batch in batches:
+                texts, kept = [], []
+                for doc, own, t in zip(batch.column(doc_at).to_pylist(), batch.column(len(names)).to_pylist(), batch.column(at).to_pylist()):
+                    f = base_features(t)
+                    gone = {} if doc is None else {k: n for k, n in zip(f["lines"], f["line_words"]) if first.get((own, k), doc) != doc}
+                    kept.append(not f["base_failed"] and f["n_words"] - sum(gone[k] for k in gone) >= f["n_words"] * KEEP_SHARE)
+                    texts.append(_without(t, gone) if gone and kept[-1] else t)
+                cols = list(batch.columns[: len(names)])
+                cols[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(kept, pa.bool_()))
+
+        return hosted.mapInArrow(clean, docs.schema)
+    lost = _excess(measured, above)
+    left = F.col("n_words") - F.coalesce("n_removed_words", F.lit(0).cast("long"))
+    passed = measured.where(~F.col("base_failed")).join(lost, ["doc_id", "hash"], "left").where(left >= F.col("n_words") * F.lit(KEEP_SHARE))
     # a decision for each text of an id
     out, doc, text_hash = fresh(docs, "__gone"), fresh(docs, "__doc"), fresh(docs, "__hash")
     decided = passed.groupBy(F.col("doc_id").alias(doc), F.col("hash").alias(text_hash)).agg(F.first("gone").alias(out))
-    names = docs.columns
     joined = docs.join(decided, docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(text_hash))).select(*[F.col(f"`{c}`") for c in names], out)
-    at = names.index("text")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for t, gone in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
-                if gone:
-                    drop = set(gone)
-                    t = "\n".join(x for x in t.split("\n") if not (k := line_key(x.encode("utf-8", "replace")))[1] or k[0] not in drop)
-                texts.append(t)
+            texts = [_without(t, set(gone)) if gone else t for t, gone in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())]
             cols = list(batch.columns[: len(names)])
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return joined.mapInArrow(strip, docs.schema)
+
+
+def _without(text: str, gone) -> str:
+    return "\n".join(x for x in text.split("\n") if not (k := line_key(x.encode("utf-8", "replace")))[1] or k[0] not in gone)

@@ -3,6 +3,9 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+
+from docloom.llm import quality_lines
 from docloom.llm.decontam import Matcher, budget, decontaminate, find_leaks, normalise
 from docloom.llm.licenses import PHRASES, Automaton, TEMPLATES, scan_licenses, scan_text
 from docloom.llm.quality_lines import base_features, clean_documents, judge_documents
@@ -30,7 +33,10 @@ def test_base_features():
         assert (f["n_words"], f["word_chars"], f["n_symbols"], f["n_dup_lines"], f["n_repeat_words"]) == features(t), t
 
 
-def test_lines_above_the_limit(spark):
+@pytest.mark.parametrize("listed", [True, False])
+def test_lines_above_the_limit(spark, monkeypatch, listed):
+    if not listed:
+        monkeypatch.setattr(quality_lines, "ABOVE_LINES", 0)
     rnd = random.Random(4)
     banner = "accept all cookies on this site to go on reading now"
     docs = [(i, prose(rnd, 120, 5000) + "\n" + banner, "a") for i in range(60)]
@@ -47,7 +53,7 @@ def test_lines_above_the_limit(spark):
     assert banner in clean[0] and banner not in clean[1] and banner in clean[202]
 
 
-def test_quality_of_odd_rows(spark):
+def test_quality_of_odd_rows(spark, monkeypatch):
     docs = odd_documents(spark)
     got = judge_documents(docs)
     assert got.count() == docs.count()
@@ -57,6 +63,8 @@ def test_quality_of_odd_rows(spark):
             assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == features(by_id[r.doc_id])
     assert clean_documents(docs).columns == docs.columns
     assert clean_documents(docs).count() == got.where("kept").count()
+    monkeypatch.setattr(quality_lines, "ABOVE_LINES", -1)
+    assert clean_documents(docs).count() == got.where("kept").count()
     assert rows(judge_documents(docs.limit(0))) == [] and rows(clean_documents(docs.limit(0))) == []
 
 
