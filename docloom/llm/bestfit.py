@@ -15,7 +15,8 @@ shorter first piece if it doesn't divide; all other documents stay whole.
 4. Each task looks up its pieces' moves by length and rank. The moves are bounded by the square of `capacity`
    (a few thousand in practice) and are the only thing that is broadcast.
 
-This gives exactly the sequences of best-fit decreasing.
+This is best-fit decreasing, but for a sequence taking one piece a sweep where the sequential rule would fill the first gap
+with equal pieces before it turns to the next of the same size; the number of sequences is the same in tests.
 
 Defined cases: a null text is empty, and an empty one is the end id alone; rows that repeat a doc_id are packed
 each, as pieces of that doc_id; a null doc_id is kept; an empty table gives no rows; other columns are not returned.
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from docloom.llm.common import cut
+from docloom.llm.common import cut, slices
 
 #: Runs on which the fast encoder's regular expressions would recurse or slow down.
 _RUNS = regex.compile(r"\s{400}|\S{4000}")
@@ -81,7 +82,7 @@ def _pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, wi
         if tokenizer_path not in _ENCODERS:
             _ENCODERS[tokenizer_path] = Encoder(tokenizer_path)
         encode = _ENCODERS[tokenizer_path].ids
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = np.append(encode(text), np.uint32(end_id)).astype("<u4").tobytes()
@@ -98,7 +99,7 @@ def _pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, wi
 
 
 def plan_moves(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Best-fit decreasing over runs: (length, first rank, ranks, first sequence, offset) of every move.
+    """Bulk-synchronous best fit over runs: (length, first rank, ranks, first sequence, offset) of every move.
 
     The pieces of that length with ranks [first, first + ranks) go to the sequences from the first one on, one
     each, at the offset.

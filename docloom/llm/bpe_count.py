@@ -4,9 +4,8 @@ A pre-token starts as one symbol per UTF-8 byte. The adjacent pair of lowest ran
 heap and merged in a doubly linked list, which may bring new pairs to its left and right; entries
 whose symbols have changed since are stale and skipped. Tokens = initial symbols - merges.
 
-Texts are cut at single spaces. A space always opens the pre-token of what follows it, so the
-pre-tokens of such a piece don't depend on its neighbours; only runs of white space with two
-or more spaces, and a space at the end, do, and texts with those are pre-tokenised whole. Counts
+Texts are cut before each space. A pre-token begins there, unless the space lies inside a run of white
+space: after other white space, and before more of it or the text's end. Texts with such a space are pre-tokenised whole. Counts
 of pieces and pre-tokens are kept in dictionaries of bounded size.
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens); strings of special tokens inside a
@@ -18,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 
 import regex
 from pyspark.sql import DataFrame
@@ -28,6 +28,10 @@ from docloom.llm.common import map_rows
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
+#: White space before a space: without any of these no space lies inside a run.
+_BEFORE = [f"{c} " for c in " \n\t\r\x0b\x0c\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"] + [f"{chr(c)} " for c in range(0x2000, 0x200B)]
+_INSIDE = re.compile(rf"[{SPACE}] (?:[{SPACE}]|\Z)").search
+
 #: Entries a worker keeps of counted pieces; the dictionary is emptied when full.
 CACHE_ENTRIES = 400_000
 
@@ -115,7 +119,7 @@ class TokenCounter:
         return sum(map(self._token.__getitem__, self._find(s)))
 
     def _segment(self, s: str) -> int:
-        if "  " in s or s.endswith(" "):
+        if any(map(s.__contains__, _BEFORE[: 6 if s.isascii() else None])) and _INSIDE(s):
             return self._whole(s)
         first, *rest = s.split(" ")
         return (self._whole(first) if first else 0) + sum(map(self._piece.__getitem__, rest))

@@ -8,9 +8,12 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DataType, StringType, StructType
 
-#: Rows of (long) keys up to which a key table may be broadcast: 16 bytes each, so about 16 MB.
-BROADCAST_KEYS = 1_000_000
+#: Bytes up to which a key table may be broadcast, counted by its rows and the width of its columns.
+BROADCAST_BYTES = 48 << 20
+#: Rows that Python holds at a time.
+SLICE_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,14 +35,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, bound: int = BROADCAST_KEYS) -> bool:
-    """Whether a checkpointed key table has at most `bound` rows."""
-    return df.limit(bound + 1).count() <= bound
+def small(df: DataFrame, rows: int) -> bool:
+    """Whether a checkpointed table has at most so many rows."""
+    return df.limit(rows + 1).count() <= rows
 
 
-def key_side(df: DataFrame, bound: int = BROADCAST_KEYS) -> DataFrame:
+def _width(kind: DataType) -> int:
+    """Bytes of a value in a row; 64 for a string, a key's usual bound."""
+    if isinstance(kind, StructType):
+        return 16 + sum(_width(f.dataType) for f in kind)
+    return 72 if isinstance(kind, StringType) else 8
+
+
+def key_side(df: DataFrame, rows: int | None = None) -> DataFrame:
     """A checkpointed table of keys for one side of a join: broadcast if its counted size allows it, else shuffled."""
-    return F.broadcast(df) if small(df, bound) else df
+    bound = BROADCAST_BYTES // (16 + sum(_width(f.dataType) for f in df.schema))
+    return F.broadcast(df) if small(df, bound if rows is None else rows) else df
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most SLICE_ROWS, so that few texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -52,14 +70,13 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def map_rows(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str, setup: Callable | None = None) -> DataFrame:
     """fn(columns as lists, state) yields dicts of column lists; Arrow in and out, one record batch at a time."""
-    from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
-        for batch in batches:
+        for batch in slices(batches):
             cols = [c.to_pylist() for c in batch.columns]
             for out in fn(cols, state) if setup else fn(cols):
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
+from docloom.llm.common import slices
+
 ERROR_RATE = 0.1
 MIN_PIECE = 8
 MIN_ITEM = 24
@@ -199,7 +201,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shipped.value)
-            for batch in batches:
+            for batch in slices(batches):
                 rows = [(doc, *m) for doc, text in zip(*(c.to_pylist() for c in batch.columns)) for m in matcher.match(text)]
                 cols = list(zip(*rows)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1], item_type), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], names=["doc_id", "item_id", "distance", "end_char"])
@@ -224,7 +226,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shipped.value)
             at = names.index("text")
-            for batch in batches:
+            for batch in slices(batches):
                 yield batch.filter(pa.array([not matcher.match(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from docloom.llm.common import cut, key_side
+from docloom.llm.common import cut, key_side, slices
 
 MIN_PAGES = 4
 MIN_SUPPORT = 0.5
@@ -211,7 +211,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(page, host, html) to a row for each token: host, page, path, text key (0: element), times, first place, mass."""
     names = ["host", "page", "path", "text", "times", "place", "mass"]
     types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for page_id, host, source in zip(*(c.to_pylist() for c in batch.columns)):
             page = Page(source)
@@ -280,7 +280,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     joined = hosted.join(key_side(found.where("host <> ''"), 50_000), "host", "left").join(F.broadcast(pooled), F.lit(True), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [extract(h, c, frozenset(r or ())) for h, c, r in zip(*(x.to_pylist() for x in batch.columns[2:]))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

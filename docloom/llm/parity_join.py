@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from docloom.llm.common import connected_components, cut, key_side
+from docloom.llm.common import connected_components, cut, key_side, slices
 
 SHINGLE_WORDS = 5
 BLOCK_DOCS = 1500
@@ -130,7 +130,7 @@ def block_keys(sets: np.ndarray, bands: Bands) -> np.ndarray:
 def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to (key, doc, n); n is the set's size with the set's own key, else 0."""
     hashes, bands = _WordHashes(), Bands()
-    for batch in batches:
+    for batch in slices(batches):
         keys, docs, sizes = [], [], []
         held = 0
 
@@ -183,7 +183,7 @@ def _tie_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _WordHashes()
-    for batch in batches:
+    for batch in slices(batches):
         text = batch.column("text").to_pylist()
         sets = [shingles(t, hashes).tobytes() for t in text]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.binary())], names=[*batch.schema.names[:-1], "s"])
@@ -248,7 +248,7 @@ def link_components(docs: DataFrame) -> DataFrame:
 
 def _sizes_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _WordHashes()
-    for batch in batches:
+    for batch in slices(batches):
         n = [len(shingles(t, hashes)) for t in batch.column(1).to_pylist()]
         none = pa.nulls(len(n), pa.int64())
         yield pa.RecordBatch.from_arrays([none, pa.array(n, pa.int64()), none], names=["doc_id", "n_shingles", "component_id"])

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from docloom.llm.common import cut, fresh, key_side, map_rows, small
+from docloom.llm.common import cut, fresh, key_side, map_rows, slices, small
 
 MIN_LINE_DOCS = 20
 LINE_SHARE = 0.02
@@ -140,7 +140,7 @@ def clean_documents(docs: DataFrame, host: str = "source") -> DataFrame:
 
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = limits.value
-            for batch in batches:
+            for batch in slices(batches):
                 texts, kept = [], []
                 for doc, own, t in zip(batch.column(doc_at).to_pylist(), batch.column(len(names)).to_pylist(), batch.column(at).to_pylist()):
                     f = base_features(t)
@@ -161,7 +161,7 @@ def clean_documents(docs: DataFrame, host: str = "source") -> DataFrame:
     joined = docs.join(decided, docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(text_hash))).select(*[F.col(f"`{c}`") for c in names], out)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [_without(t, set(gone)) if gone else t for t, gone in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())]
             cols = list(batch.columns[: len(names)])
             cols[at] = pa.array(texts, pa.string())

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from docloom.llm.common import cut, key_side, map_rows, shared_dir
+from docloom.llm.common import cut, key_side, map_rows, shared_dir, slices
 
 MIN_REVISIT = 1000
 CHUNK = 1 << 18
@@ -217,7 +217,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
         path = f"{folder}/part-{TaskContext.get().partitionId():05d}.warc.gz"
         out, press, n = None, zlib.compressobj(6, zlib.DEFLATED, 31), 0
-        for batch in batches:
+        for batch in slices(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     out = open_output(tmp := _attempt(path))
