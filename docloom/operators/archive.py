@@ -6,11 +6,16 @@ import io
 import posixpath
 import tarfile
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from docloom.functions.mime import BY_EXTENSION, OCTET
-from docloom.operators.base import Fragment, convert_documents, gather_fragments, split_documents
+from docloom.operators.base import Fragment, as_error, gather_fragments, split_documents
+from docloom.schema import ERROR
 
 EPOCH = (1980, 1, 1, 0, 0, 0)
 #: An entry that would inflate to more is refused.
@@ -64,19 +69,22 @@ def split_archives(df: DataFrame, mode: str = "core") -> DataFrame:
 
 
 def zip_fragments(df: DataFrame, keys: list[str], filename: str = "filename", content: str = "content", order: str = "index") -> DataFrame:
-    """keys, content: one ZIP archive of the fragments of each key, in order. An archive is one value, so its fragments meet in one task."""
-    def build(packed: bytes) -> bytes:
-        view, entries = memoryview(packed), []
-        while view:
-            n, m = int.from_bytes(view[:4], "big"), int.from_bytes(view[4:8], "big")
-            entries.append((bytes(view[8 : 8 + n]).decode(), bytes(view[8 + n : 8 + n + m])))
-            view = view[8 + n + m :]
-        return build_zip(entries)
-
-    # entries travel as length, length, name, data
-    size = lambda c: F.unhex(F.lpad(F.hex(F.length(c)), 8, "0"))
-    name = F.col(filename).cast("binary")
-    packed = F.concat(size(name), size(F.col(content)), name, F.col(content))
-    gathered = gather_fragments(df, keys, packed, order)
-    joined = gathered.select(*keys, F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x)).alias("content"))
-    return convert_documents(joined, build).withColumnRenamed("result", "content")
+    """keys, content, error: one ZIP archive of the fragments of each key, in order.
+
+    An archive is one value, so its fragments meet in one task. A fragment without a name or content is left out.
+    """
+    named = df.where(F.col(filename).isNotNull() & F.col(content).isNotNull())
+    gathered = gather_fragments(named, keys, F.struct(F.col(filename).alias("name"), F.col(content).alias("data")), order).select(*keys, "parts")
+    schema = StructType([gathered.schema[k] for k in keys] + StructType.fromDDL(f"content binary, error {ERROR}").fields)
+    arrow = to_arrow_schema(schema)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):  # an archive at a time
+                try:
+                    made, fault = build_zip([(p["name"], p["data"]) for p in batch.column(len(keys))[at].as_py()]), None
+                except (ValueError, zipfile.LargeZipFile) as e:
+                    made, fault = None, as_error(e, "Render")
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, 1) for k in range(len(keys))), pa.array([made], pa.binary()), pa.array([fault], arrow.field("error").type)], schema=arrow)
+
+    return gathered.mapInArrow(build, schema)
