@@ -12,6 +12,9 @@ from pyspark.sql.types import StructType
 from docloom.functions.errors import STATUS
 from docloom.schema import ERROR, FRAGMENT
 
+#: Bytes of made rows that Python holds before it hands them on.
+OUTPUT_BYTES = 16 << 20
+
 #: (content, mime, index, label) of a fragment
 Fragment = tuple[bytes, str, int, str]
 
@@ -39,17 +42,24 @@ def _mapped(df: DataFrame, rows_of: Callable[[bytes | None], Iterable[tuple]], a
     schema = StructType(kept.fields + StructType.fromDDL(added).fields)
     arrow = to_arrow_schema(schema)
 
+    def made(batch: pa.RecordBatch, source: list[int], values: list[tuple]) -> pa.RecordBatch:
+        # arrays of the kept columns repeat for each row made of a document
+        cols = [batch.column(k).take(pa.array(source, pa.int32())) for k in range(len(keep))]
+        new = list(zip(*values)) or [()] * (len(arrow) - len(keep))
+        return pa.RecordBatch.from_arrays(cols + [pa.array(v, f.type) for v, f in zip(new, list(arrow)[len(keep) :])], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            source, values = [], []
-            for i, content in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                for row in rows_of(content):
+            source, values, held = [], [], 0
+            for i in range(batch.num_rows):
+                for row in rows_of(batch.column(len(keep))[i].as_py()):
                     source.append(i)
                     values.append(row)
-            # arrays of the kept columns repeat for each row made of a document
-            cols = [batch.column(k).take(pa.array(source, pa.int32())) for k in range(len(keep))]
-            made = list(zip(*values)) or [()] * (len(arrow) - len(keep))
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(v, f.type) for v, f in zip(made, list(arrow)[len(keep) :])], schema=arrow)
+                    held += 64 + sum(len(v) for v in row if isinstance(v, bytes))
+                    if held > OUTPUT_BYTES:
+                        yield made(batch, source, values)
+                        source, values, held = [], [], 0
+            yield made(batch, source, values)
 
     return df.select(*keep, "content").mapInArrow(run, schema)
 
