@@ -26,27 +26,28 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.llm.common import cut, slices
 
-#: Runs on which the fast encoder's regular expressions would recurse or slow down.
-_RUNS = regex.compile(r"\s{400}|\S{4000}")
+#: Runs of white space from which tiktoken's regular expressions might overflow (they do at a million).
+LONG_RUN = 100_000
+_RUN = re.compile(rf"\s{{{LONG_RUN}}}")
 
 
 class Encoder:
     """Token ids of the tokenizers library for a byte-level BPE file.
 
-    The same vocabulary runs in tiktoken, which gives the same ids several times faster; texts with special tokens or
-    very long runs go to the library itself.
+    The same vocabulary runs in tiktoken, which gives the same ids several times faster; texts with special tokens go to
+    the library itself, and so do those with very long runs of white space.
     """
 
     def __init__(self, path: str):
@@ -66,7 +67,7 @@ class Encoder:
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
-        if any(s in text for s in self.special) or _RUNS.search(text):
+        if any(s in text for s in self.special) or len(text) >= LONG_RUN and _RUN.search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self.fast.encode_ordinary(text), np.uint32)
 

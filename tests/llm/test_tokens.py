@@ -14,7 +14,7 @@ ALPHABET = "ab Z'st  \n\t\x0b\x1c\x85\xa0 　é中1٣²½.,!😀́​\x00"
 def odd_texts(n=4000):
     rnd = random.Random(3)
     tails = ["", " ", "  ", "<|endoftext|>", "'ll", " \n ", "\n\n x", "<|endoftext"]
-    return ["".join(rnd.choice(ALPHABET) for _ in range(rnd.randrange(14))) + rnd.choice(tails) for _ in range(n)] + [" " * 100_000, "a" * 20_000, "\n" * 3000 + "x"]
+    return ["".join(rnd.choice(ALPHABET) for _ in range(rnd.randrange(14))) + rnd.choice(tails) for _ in range(n)] + [" " * 1_000_000, " " * 100_000, "a" * 20_000, "\n" * 3000 + "x"]
 
 
 def test_counts_and_ids_are_those_of_the_library():
