@@ -89,7 +89,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps, each a min per node joined back to its edges, until
     the edges no longer change: the number of steps grows with the logarithm of the longest path, no
-    step makes more edges than it reads, and hot nodes are split by the skew join.
+    step makes more edges than it reads, and a hot node costs its task as many rows as it has edges.
     Nodes without edges are not returned; loops, repeated edges and nulls are dropped.
     """
 
@@ -99,8 +99,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         else:
             near = pairs
         least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        # as an expression the key has no known partitioning: both sides of the join are exchanged for it, so that hot nodes can be split
-        joined = near.join(least.select(F.col("a").bitwiseXOR(F.lit(0)).alias("a"), "m"), "a")
+        joined = near.join(least, "a")
         if large:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:

@@ -45,7 +45,7 @@ SKETCH_BITS = 2048
 #: Blocks beyond d + 1 in a sketch, as a share of d: room for blocks without shingles.
 SLACK = 0.3
 #: Entries a worker keeps of words and their hashes, and of ties seen; emptied when full.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
