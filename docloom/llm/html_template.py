@@ -7,8 +7,8 @@ are an equivalence class. A class is valid if it is in MIN_SUPPORT of the pages
 tokens are nested or ordered (their mean places agree with their paths). Valid classes nest by path into the template,
 with the text that varies in the slots between their tokens.
 
-The content slot is that of the template's only article (or main) element if it has ARTICLE_SHARE of the text, else it is
-found from the root by going down while one element holds CONTENT_SHARE of it; text counts that is in running blocks, isn't linked and isn't in a part that its name marks as no article (menus, adverts, ...).
+The content slot is that of the template's only article (or main) element if it has ARTICLE_SHARE of the text, else that of
+the smallest element that holds all of it; text counts that isn't a text token of the template, isn't linked and isn't in a part that its name marks as no article (menus, adverts, ...).
 What is extracted from a page is that element's slots without such parts, and without text tokens of the template (blocks
 repeated on most pages of the host). Hosts of fewer than MIN_PAGES distinct pages share one template, deduced from all of
 them; a page that lacks the template's content element is taken by its only article, or its own masses of text.
@@ -33,7 +33,6 @@ from docloom.llm.common import cut, key_side, slices
 
 MIN_PAGES = 4
 MIN_SUPPORT = 0.5
-CONTENT_SHARE = 0.8
 ARTICLE_SHARE = 0.3
 #: A text block is of the template if it is in this share of a host's distinct pages, of MIN_TEXT_PAGES at least.
 TEXT_SUPPORT = 0.6
@@ -156,19 +155,17 @@ class Page:
             self._linked += len(text.strip())
 
     def masses(self) -> dict[str, int]:
-        """Characters of unlinked text outside excluded parts, under each path."""
+        """Characters of unlinked text outside excluded parts, under each path; all of them under the empty one."""
         out: dict[str, int] = {}
         for path, text, linked, excluded in self.blocks:
             if not excluded and (n := len(text) - linked) > 0:
-                while path:
-                    out[path] = out.get(path, 0) + n
-                    path = path.rpartition(">")[0]
+                for p in upwards(path):
+                    out[p] = out.get(p, 0) + n
         return out
 
-
     def own_content(self) -> str:
-        """The page's only article or main element; else the single element that holds most of its mass."""
-        count: dict[str, int] = {}
+        """The page's only article or main element; else the smallest single element that holds all of its mass."""
+        count = {"": 1}
         for path in self.roles:
             count[path] = count.get(path, 0) + 1
         return content_of({p: n for p, n in self.masses().items() if count[p] == 1})
@@ -178,19 +175,23 @@ def text_key(path: str, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\n{text}".encode("utf-8", "replace")) - (1 << 63)
 
 
+def upwards(path: str) -> Iterator[str]:
+    """The path, those of the elements around it, and the empty one."""
+    while path:
+        yield path
+        path = path.rpartition(">")[0]
+    yield ""
+
+
 def descend(mass: dict[str, int]) -> str:
-    """The deepest element that still holds most of the mass of all."""
-    total = max(mass.values(), default=0)
-    best = ""
-    for path in sorted(mass, key=lambda p: (p.count(">"), p)):
-        if mass[path] >= CONTENT_SHARE * total and (not best or path.startswith(best + ">")):
-            best = path
-    return best
+    """The deepest element that holds the whole mass; empty if no element does."""
+    total = mass.get("", 0)
+    return max((p for p, n in mass.items() if p and n == total > 0), key=lambda p: p.count(">"), default="")
 
 
 def content_of(mass: dict[str, int]) -> str:
-    """The only article element, or else main element, with a fair part of the mass; else the deepest that holds most of it."""
-    total = max(mass.values(), default=0)
+    """The only article element, or else main element, with a fair part of the mass; else the deepest that holds all of it."""
+    total = mass.get("", 0)
     for name in ("article", "main"):
         named = [p for p in mass if p.rpartition(">")[2] == name]
         if len(named) == 1 and mass[named[0]] >= ARTICLE_SHARE * total:
@@ -218,12 +219,14 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mass, seen = page.masses(), {}
             for place, path in enumerate(page.roles):
                 seen.setdefault(path, [0, place])[0] += 1
+            seen[""] = [1, -1]
             rows += [(host, page_id, path, 0, n, place, mass.get(path, 0)) for path, (n, place) in seen.items()]
-            texts: dict[tuple[str, int], int] = {}
-            for path, text, _, _ in page.blocks:
-                k = path, text_key(path, text)
-                texts[k] = texts.get(k, 0) + 1
-            rows += [(host, page_id, path, key, n, 0, 0) for (path, key), n in texts.items()]
+            texts: dict[tuple[str, int], list[int]] = {}
+            for path, text, linked, out in page.blocks:
+                found = texts.setdefault((path, text_key(path, text)), [0, 0])
+                found[0] += 1
+                found[1] += 0 if out else len(text) - linked
+            rows += [(host, page_id, path, key, n, 0, m) for (path, key), (n, m) in texts.items()]
         cols = list(zip(*rows)) or [()] * 7
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
@@ -241,10 +244,15 @@ def _deduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for own in classes.values():
                 place = {t["path"]: t["places"] / t["support"] for t in own}
                 # an element comes before what it holds
-                if all(place.get(p.rpartition(">")[0], -1) < x for p, x in place.items()):
+                if all(place.get(p.rpartition(">")[0], -1) < x for p, x in place.items() if p):
                     template |= {t["path"]: t["mass"] for t in own}
+            fixed = [t for t in tokens if t["text"] and t["support"] >= max(MIN_TEXT_PAGES, TEXT_SUPPORT * pages)]
+            for t in fixed:
+                for p in upwards(t["path"]):
+                    if p in template:
+                        template[p] -= t["mass"]
             contents.append(content_of({p: n for p, n in template.items() if n}))
-            repeats.append([t["text"] for t in tokens if t["text"] and t["support"] >= max(MIN_TEXT_PAGES, TEXT_SUPPORT * pages)])
+            repeats.append([t["text"] for t in fixed])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.string()), pa.array(repeats, pa.list_(pa.int64()))], names=["host", "content", "repeated"])
 
 

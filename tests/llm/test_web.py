@@ -3,7 +3,7 @@ import hashlib
 import io
 import zlib
 
-from docloom.llm.html_template import extract, main_text
+from docloom.llm.html_template import extract, main_text, templates
 from docloom.llm.warc import inflated, normalise, parse_record, read_index, record, records, round_trip
 from tests.llm.common import rows
 
@@ -41,6 +41,18 @@ def test_parts_and_broken_markup():
     assert extract("a < b &lt;i&gt; &#233;&eacute;&bogus; <!-- c", None) == "a < b <i> éé&bogus;"
 
 
+def test_nothing_of_the_article_is_outside_the_content(spark):
+    bodies = [lambda i: f"<h1>Title {i}</h1><div class='lead'>{'lead %d ' % i * 14}</div><div class='body'>{'body %d ' % i * 130}</div><div class='legal'>all rights are with us</div>",
+              lambda i: f"<div><p>{'text %d ' % i * 117}</p><ul><li>{'item %d ' % i * 26}</li></ul></div>"]
+    want = [lambda i: f"Title {i}\n{('lead %d ' % i * 14).strip()}\n{('body %d ' % i * 130).strip()}", lambda i: f"{('text %d ' % i * 117).strip()}\n{('item %d ' % i * 26).strip()}"]
+    for k, (body, text) in enumerate(zip(bodies, want)):
+        df = spark.createDataFrame([page(i, body(i), f"h{k}.example") for i in range(12)], "page_id long, url string, html string")
+        assert templates(df.selectExpr("page_id AS page", "'h' AS host", "html")).first().content == ("html>body", "html>body>div")[k]
+        assert {r.page_id: r.text for r in main_text(df).collect()} == {i: text(i) for i in range(12)}
+        assert extract(body(3), None).startswith(text(3))
+    assert extract(page(1, "<div class='entry-header'><h1>T</h1></div><div id='main'><p>" + "w " * 50)[2], None) == "T\n" + ("w " * 50).strip()
+
+
 def stream_of(rows_):
     return gzip.compress(b"".join(rows_))
 
