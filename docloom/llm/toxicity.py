@@ -3,7 +3,7 @@
 A document is a bag of sentences. A sentence scores sigmoid(bias + sum of its words' feature weights); a
 document is toxic if any sentence is: P = 1 - prod(1 - p_sentence), the noisy-or. Only documents
 carry labels; gradient descent on the noisy-or's likelihood spreads them to the sentences, so that
-the sentences that make a document toxic can be named.
+the sentences that make a document toxic can be named: all whose own probability is SENTENCE_P or more.
 
 The model is fitted on the driver on at most SAMPLE_DOCS labelled documents, drawn by the hash of
 their id. A word's features are itself and its beginnings; the model keeps those whose document frequency differs between the classes by SELECT_Z
@@ -31,6 +31,7 @@ SAMPLE_DOCS = 6000
 SELECT_Z = 3.5
 MIN_DOCS = 4
 STEPS = 400
+SENTENCE_P = 0.5
 PREFIXES = (4, 5, 6, 7)
 #: Entries a worker keeps of words and their weights; the dictionary is emptied when full.
 CACHE_ENTRIES = 400_000
@@ -75,17 +76,27 @@ class NoisyOr:
 
     def score(self, text: str | None) -> tuple[float, int | None]:
         """The document's score, and the index of its worst sentence (null if no sentence has known words)."""
+        return self.locate(text)[:2]
+
+    def locate(self, text: str | None) -> tuple[float, int | None, list[tuple[int, float]]]:
+        """As score, and (index, probability) of every sentence of SENTENCE_P or more, in order."""
         found = sentences_of(text)
-        total, worst, at = self.calm * max(1, len(found)), 0.0, None
-        if found and any(map(self.word.__getitem__, b" ".join(found).split())):
+        total, worst, at, bad = self.calm * max(1, len(found)), 0.0, None, []
+        calm_p = -float(np.expm1(-self.calm))
+        known = found and any(map(self.word.__getitem__, b" ".join(found).split()))
+        if known or calm_p >= SENTENCE_P:
             for i, s in enumerate(found):
                 words = list(map(self.word.__getitem__, s.split()))
+                p = calm_p
                 if any(words):
-                    hit = float(np.logaddexp(0.0, self.bias + sum(words))) - self.calm
+                    soft = float(np.logaddexp(0.0, self.bias + sum(words)))
+                    p, hit = -float(np.expm1(-soft)), soft - self.calm
                     total += hit
                     if hit > worst:
                         worst, at = hit, i
-        return -float(np.expm1(-max(0.0, total))), at
+                if p >= SENTENCE_P:
+                    bad.append((i, p))
+        return -float(np.expm1(-max(0.0, total))), at, bad
 
 
 def fit(texts: list[str | None], labels: list[int]) -> NoisyOr:
@@ -155,14 +166,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
 
 
 def score_documents(docs: DataFrame, model: NoisyOr) -> DataFrame:
-    """doc_id, held_out, score, predicted, worst_sentence (its index, from 0) of every row."""
+    """doc_id, held_out, score, predicted, worst_sentence (its index, from 0), toxic_sentences (all of SENTENCE_P or more) of every row."""
     shipped = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def score(cols, fitted):
         ids, folds, texts = cols
-        found = [fitted.score(t) for t in texts]
-        scores = [min(1.0, max(0.0, s)) for s, _ in found]
-        yield {"doc_id": ids, "held_out": folds, "score": scores, "predicted": [int(s >= 0.5) for s in scores], "worst_sentence": [w for _, w in found]}
+        found = [fitted.locate(t) for t in texts]
+        scores = [min(1.0, max(0.0, s)) for s, _, _ in found]
+        bad = [[{"sentence": i, "score": p} for i, p in b] for _, _, b in found]
+        yield {"doc_id": ids, "held_out": folds, "score": scores, "predicted": [int(s >= 0.5) for s in scores], "worst_sentence": [w for _, w, _ in found], "toxic_sentences": bad}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_rows(docs.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)), "text"), score, f"doc_id {kind}, held_out boolean, score double, predicted int, worst_sentence int", lambda: NoisyOr(*shipped.value))
+    return map_rows(docs.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)), "text"), score, f"doc_id {kind}, held_out boolean, score double, predicted int, worst_sentence int, toxic_sentences array<struct<sentence: int, score: double>>", lambda: NoisyOr(*shipped.value))

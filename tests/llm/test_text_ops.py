@@ -94,6 +94,18 @@ def test_noisy_or_finds_documents_and_sentences():
     assert 0 <= model.score(None)[0] < 0.5 and model.score("")[0] == model.score(None)[0]
 
 
+def test_every_toxic_sentence_is_named(spark):
+    found = bags(1500, 1)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(found)] + [(5000, "w1 vile w2. w3 w4! nastybar w5\nw6 w7. w8 vile"), (5001, "w1 w2. w3"), (5002, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(found)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in score_documents(docs, train(docs, labels)).where("doc_id >= 5000").collect()}
+    assert [x.sentence for x in got[5000].toxic_sentences] == [0, 2, 4] and all(0.5 <= x.score <= 1 for x in got[5000].toxic_sentences)
+    assert got[5000].worst_sentence in (0, 2, 4) and got[5001].toxic_sentences == [] == got[5002].toxic_sentences
+    # every sentence is toxic where every label is
+    sure = score_documents(docs, train(docs, labels.where("toxic = 1"))).where("doc_id = 5001").first()
+    assert [x.sentence for x in sure.toxic_sentences] == [0, 1]
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = odd_documents(spark)
     labels = spark.createDataFrame([(i, i % 2) for i in range(80)] + [(3, None), (None, 1), (5, 0)], "doc_id long, toxic int")
