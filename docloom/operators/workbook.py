@@ -26,8 +26,8 @@ _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _T = "{urn:oasis:names:tc:opendocument:xmlns:table:1.0}"
 _O = "{urn:oasis:names:tc:opendocument:xmlns:office:1.0}"
 _X = "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}"
-#: Repeated empty cells and rows beyond this aren't written out.
-MAX_REPEAT = 10_000
+#: Cells with content that an ODS file's repeats may stand for, about 800 MB; a file with more is an error.
+MAX_REPEATED_CELLS = 4_000_000
 
 
 @dataclass
@@ -106,7 +106,7 @@ def _read_xlsx(z: zipfile.ZipFile, names: set[str]) -> list[Sheet]:
 def _read_ods(z: zipfile.ZipFile) -> list[Sheet]:
     root = ET.fromstring(z.read("content.xml"))
     hidden = {s.get("{urn:oasis:names:tc:opendocument:xmlns:style:1.0}name") for s in root.iter("{urn:oasis:names:tc:opendocument:xmlns:style:1.0}style") for p in s if p.get(_T + "display") == "false"}
-    out = []
+    out, repeated = [], 0
     for t in root.iter(_T + "table"):
         sheet, r = Sheet(t.get(_T + "name"), hidden=t.get(_T + "style-name") in hidden), 0
         for row in t.iter(_T + "table-row"):
@@ -118,10 +118,16 @@ def _read_ods(z: zipfile.ZipFile) -> list[Sheet]:
                     text = "\n".join("".join(p.itertext()) for p in cell.iter(_X + "p"))
                     value = {"float": cell.get(_O + "value"), "boolean": cell.get(_O + "boolean-value")}.get(kind, text)
                     one = Cell({"float": "number", "boolean": "boolean"}.get(kind, "string"), value or "", cell.get(_T + "formula"))
-                    found |= {c + k: one for k in range(min(again, MAX_REPEAT))}
+                    repeated += again - 1
+                    if repeated > MAX_REPEATED_CELLS:
+                        raise ConversionError("Resource", f"repeats stand for more than {MAX_REPEATED_CELLS} cells")
+                    found |= {c + k: one for k in range(again)}
                 c += again
             if found:
-                for k in range(min(times, MAX_REPEAT)):
+                repeated += (times - 1) * len(found)
+                if repeated > MAX_REPEATED_CELLS:
+                    raise ConversionError("Resource", f"repeats stand for more than {MAX_REPEATED_CELLS} cells")
+                for k in range(times):
                     sheet.cells |= {(r + k, x): one for x, one in found.items()}
             r += times
         out.append(sheet)

@@ -99,6 +99,25 @@ def test_workbook_targets():
     assert B.read_workbook(B.from_csv(b'a,"b,c"\r\n1,2.5'))[0].grid() == [["a", "b,c"], ["1", "2.5"]]
 
 
+def ods_of(rows):
+    names = " ".join(f'xmlns:{k}="urn:oasis:names:tc:opendocument:xmlns:{k}:1.0"' for k in ("office", "table", "text"))
+    return zip_of([("content.xml", f'<office:document-content {names}><table:table table:name="S">{rows}</table:table></office:document-content>'.encode())])
+
+
+def test_ods_repeats_with_content_are_whole(spark):
+    one = lambda x, n=1: f'<table:table-cell office:value-type="float" office:value="{x}" table:number-columns-repeated="{n}"><text:p>{x}</text:p></table:table-cell>'
+    rows = f'<table:table-row table:number-rows-repeated="50000">{one(2)}</table:table-row><table:table-row>{one(3, 12000)}</table:table-row>'
+    empty = '<table:table-row table:number-rows-repeated="900000"><table:table-cell table:number-columns-repeated="16384"/></table:table-row>'
+    sheet = B.read_workbook(ods_of(rows + empty))[0]
+    assert len(sheet.cells) == 62000 and sheet.cells[49_999, 0].value == "2" and sheet.cells[50_000, 11_999].value == "3"
+    assert len(B.to_csv(ods_of(rows.split("<table:table-row>")[0] + empty)).split("\n")) == 50_000
+    total = '<table:table-row><table:table-cell/><table:table-cell office:value-type="float" table:formula="SUM(A1:A50000)"/></table:table-row>'
+    assert B.freeze(made := B.read_workbook(ods_of(rows.split("<table:table-row>")[0] + total))[0], {"S": made}).cells[50_000, 1].value == "100000"
+    much = ods_of(f'<table:table-row table:number-rows-repeated="1048576">{one(1, 16384)}</table:table-row>')
+    got = B.split_workbooks(spark.createDataFrame([(1, much)], "doc_id long, content binary")).collect()
+    assert len(got) == 1 and got[0].error.type == "Resource" and got[0].content is None
+
+
 def test_word():
     doc = word.write_docx([[("Heading1", "Top"), ("", "one <x>")], [[["a", "b"], ["c", "d"]]], [("", "last\nline")]])
     assert word.to_text(doc) == "Top\none <x>\na\tb\nc\td\n\nlast\nline" or word.to_text(doc).split("\n")[0] == "Top"
