@@ -14,11 +14,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from docloom.functions.mime import BY_EXTENSION, OCTET
-from docloom.operators.base import Fragment, as_error, gather_fragments, split_documents
+from docloom.operators.base import ConversionError, Fragment, as_error, gather_fragments, split_documents
 from docloom.schema import ERROR
 
 EPOCH = (1980, 1, 1, 0, 0, 0)
-#: An entry that would inflate to more is refused.
+#: An entry that would inflate to more is an error in its place.
 MAX_ENTRY_BYTES = 1 << 30
 
 
@@ -41,10 +41,9 @@ def split_zip(content: bytes, mode: str = "core") -> list[Fragment]:
         for place, info in enumerate(z.infolist()):
             if info.is_dir() or mode == "core" and mac_entry(info.filename):
                 continue
-            if info.file_size > MAX_ENTRY_BYTES:
-                raise ValueError(f"{info.filename} inflates to {info.file_size} bytes")
             name = posixpath.basename(info.filename) if mode == "core" else info.filename
-            out.append((z.read(info), type_of_entry(info.filename), len(out) if mode == "core" else place, name))
+            large = info.file_size > MAX_ENTRY_BYTES
+            out.append((ConversionError("Resource", f"{info.filename} inflates to {info.file_size} bytes") if large else z.read(info), type_of_entry(info.filename), len(out) if mode == "core" else place, name))
     return out
 
 

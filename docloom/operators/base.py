@@ -15,8 +15,8 @@ from docloom.schema import ERROR, FRAGMENT
 #: Bytes of made rows that Python holds before it hands them on.
 OUTPUT_BYTES = 16 << 20
 
-#: (content, mime, index, label) of a fragment
-Fragment = tuple[bytes, str, int, str]
+#: (content, mime, index, label) of a fragment; an exception instead of content that can't be had
+Fragment = tuple[bytes | Exception, str, int, str]
 
 
 class ConversionError(Exception):
@@ -68,7 +68,7 @@ def split_documents(df: DataFrame, split: Callable[[bytes], list[Fragment]]) ->
     """df(..., content) to a row for each fragment: content, mime, index, label, total, error.
 
     A document that can't be split gives one row with an error and no fragment; an empty one none at all; a null
-    content gives nothing.
+    content gives nothing. A fragment whose content can't be had is a row with an error; the others stay.
     """
 
     def rows(content):
@@ -78,7 +78,7 @@ def split_documents(df: DataFrame, split: Callable[[bytes], list[Fragment]]) ->
             found = split(content)
         except Exception as e:  # an error is a value of the row
             return [(None, None, None, None, None, as_error(e, "Split"))]
-        return [(*f, len(found), None) for f in found]
+        return [(None, *f[1:], len(found), as_error(f[0], "Split")) if isinstance(f[0], Exception) else (*f, len(found), None) for f in found]
 
     return _mapped(df, rows, f"{FRAGMENT}, error {ERROR}")
 

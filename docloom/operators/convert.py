@@ -62,6 +62,8 @@ def any_text(content: bytes, source: str) -> str:
     if source == "zip":
         parts = []
         for data, mime, _, name in archive.split_zip(content):
+            if isinstance(data, Exception):
+                raise data
             inner = _SHORT_OF.get(mime, "bin")
             parts.append(f"{name}\n" + (any_text(data, inner) if data and (inner in how or mime.startswith("text/")) else ""))
         return "\n".join(parts)

@@ -121,6 +121,9 @@ def split_requests(spark: SparkSession, requests: DataFrame, office: bool = Fals
 
         def run(body):
             found = first_success([splitter(b, _SHORT_OF.get(source, source)) for b in ([backend] if backend else registry.BACKENDS)])(body)
+            for f in found:
+                if isinstance(f[0], Exception):
+                    raise f[0]
             width = len(str(max(1, len(found))))
             clean = str.maketrans({c: "_" for c in '\\/:*?"<>|'})
             entries = [(f"{i:0{width}d}__{(f[3] or f'fragment_{i}').translate(clean)[:200]}.{EXTENSION_OF.get(f[1], 'bin')}", f[0]) for i, f in enumerate(found, 1)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions.mime import SHORT
 from docloom.functions.options import ConvertOptions
 from docloom.operators import archive, convert as C, info, mail, pdf, slides, text_split, watermark as W, word, workbook as B
-from docloom.operators.base import ConversionError
+from docloom.operators.base import ConversionError, split_documents
 
 
 def fragments(df, *cols):
@@ -50,6 +50,25 @@ def test_zip_modes(spark):
     assert got == {1: (4, None), 2: (1, "Split")}
 
 
+def test_too_large_entry_leaves_the_others(spark, monkeypatch):
+    content = zip_of([("a.txt", b"1"), ("big.txt", b"x" * 50), ("b.txt", b"2")])
+    monkeypatch.setattr(archive, "MAX_ENTRY_BYTES", 10)
+    found = archive.split_zip(content)
+    assert [f[3] for f in found] == ["a.txt", "big.txt", "b.txt"]
+
+    def bounded(c):
+        was, archive.MAX_ENTRY_BYTES = archive.MAX_ENTRY_BYTES, 10
+        try:
+            return archive.split_zip(c)
+        finally:
+            archive.MAX_ENTRY_BYTES = was
+
+    got = split_documents(spark.createDataFrame([(1, content)], "doc_id long, content binary"), bounded).collect()
+    assert [(r.label, r.content and bytes(r.content), r.total, r.error and r.error.type) for r in got] == [("a.txt", b"1", 3, None), ("big.txt", None, 3, "Resource"), ("b.txt", b"2", 3, None)]
+    with pytest.raises(ConversionError):
+        C.any_text(content, "zip")
+
+
 def test_zip_sink_orders_entries_and_repeats_bytes(spark):
     df = spark.createDataFrame([(1, i, f"{i:02d}.txt", b"x" * i) for i in (3, 1, 2, 300)], "doc_id long, index int, filename string, content binary")
     zips = [archive.zip_fragments(df.repartition(n), ["doc_id"]).first().content for n in (1, 4)]
