@@ -2,10 +2,9 @@
 
 Tokens of a page are its element roles (the path of block elements with their classes) and its text blocks (path and hash of
 the text). Over the distinct pages of a host each token has an occurrence vector: how often it is in each page. Vectors are compared
-by a hash that adds up page by page, so that no vector is ever gathered: tokens of one (support, hash)
-are an equivalence class. A class is valid if it is in MIN_SUPPORT of the pages at least, its elements come once a page, and its
-tokens are nested or ordered (their mean places agree with their paths). Valid classes nest by path into the template,
-with the text that varies in the slots between their tokens.
+by a hash that adds up page by page, so that no vector is ever gathered. Elements of one (support, hash)
+are grouped, but as a parent always comes before what it holds, no group is turned down: the template is the elements that are in
+MIN_SUPPORT of the pages at least and come once a page. Order and nesting of classes, and slots between their tokens, are not worked out.
 
 The content slot is that of the template's only article (or main) element if it has ARTICLE_SHARE of the text, else that of
 the smallest element that holds all of it; text counts that isn't a text token of the template, isn't linked and isn't in a part that its name marks as no article (menus, adverts, ...).
