@@ -159,10 +159,21 @@ def extension_for(m, default: str = "bin") -> Column:
     return F.coalesce(_lookup(EXTENSION_OF, F.lower(strip_parameters(m))), F.lit(default))
 
 
+def _directory(content: Column) -> Column:
+    """A ZIP's central directory, bytes as characters; null if its end record isn't there."""
+    # the end record may be followed by a comment of 64 KB at most
+    tail = F.decode(F.substring(content, -65_557, 65_557), "ISO-8859-1")
+    before = F.length(F.regexp_extract(tail, r"(?s)^(.*)PK\x05\x06.{18}", 1))
+    size = F.hex(F.encode(F.substring(tail, before + 13, F.lit(4)), "ISO-8859-1"))
+    size = F.conv(F.concat(*(F.substring(size, k, 2) for k in (7, 5, 3, 1))), 16, 10).cast("long")
+    start = F.length(content) - F.length(tail) + before - size + 1
+    return F.when((before > 0) & (start >= 1), F.decode(F.substring(content, start.cast("int"), size.cast("int")), "ISO-8859-1"))
+
+
 def sniff(content) -> Column:
     """The type by first bytes: magic numbers, then markup and mail headers, then text or octet stream.
 
-    Office containers are told apart by the names in their first 4 KB (stored uncompressed in ZIP headers).
+    Office containers are told apart by the names in the ZIP's central directory; in the first 4 KB if it has none.
     """
     content = F.col(content) if isinstance(content, str) else content
     head = F.substring(content, 1, 4096)
@@ -172,11 +183,14 @@ def sniff(content) -> Column:
         out = out.when(hexed.startswith(magic), mime)
     has = lambda s: F.contains(head, F.lit(s.encode()))
     zipped = hexed.startswith("504B0304")
-    for part, short in (("mimetypeapplication/vnd.oasis.opendocument.text", "odt"), ("mimetypeapplication/vnd.oasis.opendocument.spreadsheet", "ods"), ("mimetypeapplication/vnd.oasis.opendocument.presentation", "odp"), ("mimetypeapplication/vnd.oasis.opendocument.graphics", "odg"), ("word/", "docx"), ("xl/", "xlsx"), ("ppt/", "pptx")):
+    for part, short in (("mimetypeapplication/vnd.oasis.opendocument.text", "odt"), ("mimetypeapplication/vnd.oasis.opendocument.spreadsheet", "ods"), ("mimetypeapplication/vnd.oasis.opendocument.presentation", "odp"), ("mimetypeapplication/vnd.oasis.opendocument.graphics", "odg")):
         out = out.when(zipped & has(part), SHORT[short])
+    directory = _directory(content)
+    for part, short in (("word/", "docx"), ("xl/", "xlsx"), ("ppt/", "pptx")):
+        out = out.when(zipped & F.when(directory.isNull(), has(part)).otherwise(directory.rlike(rf"(?s)PK\x01\x02.{{42}}{part}")), SHORT[short])
     out = out.when(zipped, SHORT["zip"]).when(F.substring(hexed, 515, 10) == "7573746172", SHORT["tar"])
     out = out.when(hexed.startswith("52494646") & (F.substring(hexed, 17, 8) == "57454250"), SHORT["webp"])
-    text = F.lower(F.ltrim(F.make_valid_utf8(F.substring(head, 1, 256).cast("string"))))
+    text = F.lower(F.make_valid_utf8(F.substring(F.ltrim(content.cast("string")), 1, 256)))
     out = out.when(text.startswith("<!doctype html") | text.startswith("<html"), SHORT["html"]).when(text.startswith("<?xml"), SHORT["xml"])
     out = out.when(text.rlike(r"^(from|received|mime-version|return-path|message-id):"), SHORT["eml"])
     return out.when(~F.contains(head, F.lit(b"\x00")) & F.is_valid_utf8(content.cast("string")), SHORT["txt"]).otherwise(OCTET)

@@ -1,3 +1,6 @@
+import io
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,6 +23,23 @@ def test_from_filename(spark, name, want):
     assert one(spark, M.from_filename(F.lit(name)))[0] == want
 
 
+def test_detection_reads_the_whole_content(spark):
+    def zipped(*entries, comment=b""):
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w") as z:
+            for name, data in entries:
+                z.writestr(name, data)
+            z.comment = comment
+        return raw.getvalue()
+
+    long = ("[Content_Types].xml", b"x" * 9000)
+    inner = zipped(("word/document.xml", b"w"))
+    cases = [zipped(long, ("word/document.xml", b"w")), zipped(long, ("xl/workbook.xml", b"w"), comment=b"c" * 3000), zipped(long, ("ppt/presentation.xml", b"w")), zipped(("a.docx", inner), ("keyword/x", b"")), b" " * 300 + b"<html>", b" " * 5000 + b"<?xml?>"]
+    want = [M.SHORT["docx"], M.SHORT["xlsx"], M.SHORT["pptx"], M.SHORT["zip"], "text/html", M.SHORT["xml"]]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, content binary")
+    assert [r.m for r in df.select("i", M.sniff("content").alias("m")).orderBy("i").collect()] == want
+
+
 def test_detection(spark):
     pdf = F.lit(b"%PDF-1.4")
     r = one(spark, M.detect_lazily(pdf, F.lit("renamed.txt")), M.detect(pdf, F.lit("renamed.txt")), M.sniff(F.lit(b"")), M.sniff(F.lit(b"\xff\xfe\x00")), M.sniff(F.lit(b"PK\x03\x04" + b"\0" * 26 + b"xl/workbook.xml")), M.sniff(F.lit(b"  <HTML>")))
