@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +10,8 @@ from pyspark.sql.types import DataType, StringType, StructType
 
 #: Bytes up to which a key table may be broadcast, counted by its rows and the width of its columns.
 BROADCAST_BYTES = 48 << 20
+#: Rows of one key that a join's task takes where the other side has a large value for it.
+HOT_ROWS = 50_000
 #: Rows that Python holds at a time.
 SLICE_ROWS = 1000
 
@@ -21,10 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or (tests only) one of our own."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir of the session.
+
+    Without it, a session in one process (local master) takes a folder beside its warehouse; on a cluster that is an error, as a folder
+    of the driver's machine would lose data.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = os.path.join(tempfile.gettempdir(), "docloom-checkpoints")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_docloom_checkpoints"
         spark.sparkContext.setCheckpointDir(found)
     return found
 
@@ -53,6 +59,23 @@ def key_side(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if small(df, bound if rows is None else rows) else df
 
 
+def join_blobs(df: DataFrame, blobs: DataFrame, key: str, blob: str) -> DataFrame:
+    """df with its key's row of a checkpointed table (key, blob of any length), left; keys are unique there.
+
+    The table is broadcast if its counted bytes allow it. Beyond, both sides are shuffled, and the rows of a key with more than
+    HOT_ROWS are dealt over as many parts as it takes, each of which gets the blob.
+    """
+    n = blobs.agg(F.sum(F.length(blob) + F.length(F.col(key).cast("string")) + 32)).first()[0] or 0
+    if n <= BROADCAST_BYTES:
+        return df.join(F.broadcast(blobs), key, "left")
+    parts, part = fresh(df, "__parts"), fresh(df, "__part")
+    # at most one such key for HOT_ROWS rows
+    hot = cut(df.groupBy(key).agg(F.ceil(F.count("*") / HOT_ROWS).cast("int").alias(parts)).where(F.col(parts) > 1))
+    dealt = df.join(key_side(hot), key, "left").withColumn(part, F.pmod(F.xxhash64(*df.columns), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
+    copies = blobs.join(key_side(hot), key, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)
+    return dealt.join(copies, [key, part], "left").drop(part)
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most SLICE_ROWS, so that few texts are Python objects at once."""
     for batch in batches:
