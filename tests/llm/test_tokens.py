@@ -3,7 +3,8 @@ import random
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from docloom.llm.bestfit import Encoder, assemble, pack, plan_moves
+from docloom.llm import bestfit
+from docloom.llm.bestfit import GAP, PIECE, Encoder, assemble, pack, plan_moves, sweep
 from docloom.llm.bpe_count import TokenCounter, token_counts
 from tests.llm.common import odd_documents, rows
 
@@ -44,21 +45,48 @@ def best_fit_decreasing(lengths, capacity):
     return sorted(gaps)
 
 
-def test_plan_is_as_good_as_best_fit_decreasing():
-    rnd = random.Random(5)
-    for _ in range(60):
-        capacity = rnd.choice((10, 37, 64))
-        lengths = [rnd.randrange(1, capacity + 1) for _ in range(rnd.randrange(1, 120))]
+def check_plan(moves, counts, capacity):
+    """Every rank of every length is placed once, at the end of its sequence; the number of sequences."""
+    used, seen = {}, {}
+    for length, rank, n, first, offset in moves:
+        for k in range(n):
+            assert rank + k not in seen.setdefault(length, set())
+            seen[length].add(rank + k)
+            assert used.get(first + k, 0) == offset
+            used[first + k] = offset + length
+    assert {k: len(v) for k, v in seen.items()} == counts and max(used.values()) <= capacity
+    return len(used)
+
+
+def test_a_sweep_gives_each_piece_its_successor():
+    """One piece a run and gap: what a sweep does is what taking the pieces by size, each to the smallest gap, does."""
+    rnd = random.Random(6)
+    for _ in range(300):
+        pieces = [rnd.randrange(1, 40) for _ in range(rnd.randrange(9))]
+        gaps = [rnd.randrange(1, 60) for _ in range(rnd.randrange(9))]
+        out = sweep([(PIECE, n, k, 1, 0, 0) for k, n in enumerate(pieces)] + [(GAP, g, k, 1, 0, 0) for k, g in enumerate(gaps)], 60)
+        left, unplaced = sorted(gaps), []
+        for n in sorted(pieces, reverse=True):
+            fit = next((g for g in left if g >= n), None)
+            if fit is None:
+                unplaced.append(n)
+            else:
+                left.remove(fit)
+                left = sorted(left + [fit - n] * (fit > n))
+        assert sorted(r[1] for r in out if r[0] == GAP) == left
+        assert sorted((r[1] for r in out if r[0] == PIECE), reverse=True) == unplaced
+
+
+def test_plan_is_as_good_as_best_fit_decreasing(spark, monkeypatch):
+    rnd, extra = random.Random(5), 0
+    cases = [(capacity, [rnd.randrange(1, capacity + 1) for _ in range(rnd.randrange(1, 120))]) for capacity in (10, 37, 64) * 3]
+    cases.append((512, [rnd.randrange(1, 500) for _ in range(1500)]))
+    monkeypatch.setattr(bestfit, "TASK_RUNS", 40)  # several ranges even for small cases
+    for capacity, lengths in cases:
         counts = {n: lengths.count(n) for n in set(lengths)}
-        used, seen = {}, {}
-        for length, rank, n, first, offset in plan_moves(counts, capacity):
-            for k in range(n):
-                assert rank + k not in seen.setdefault(length, set())
-                seen[length].add(rank + k)
-                assert used.get(first + k, 0) == offset
-                used[first + k] = offset + length
-        assert {k: len(v) for k, v in seen.items()} == counts
-        assert len(used) == len(best_fit_decreasing(lengths, capacity)) and max(used.values()) <= capacity
+        extra += check_plan(plan_moves(spark, counts, capacity), counts, capacity) - len(best_fit_decreasing(lengths, capacity))
+    assert extra <= 1
+    assert plan_moves(spark, {}, 9) == []
 
 
 def test_pack_keeps_every_token(spark):
