@@ -134,11 +134,25 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "line_no", keeper.alias("k")).select("doc_id", "line_no", F.col("k.doc_id").alias("keeper_doc"), F.col("k.line_no").alias("keeper_line"))
 
 
+def _without(text: str, gone: str) -> F.Column:
+    """The text without the lines of sorted numbers: the runs of lines between them, sliced out of lines that are split once."""
+
+    def run(lines: F.Column, k: F.Column) -> F.Column:
+        last = F.coalesce(F.get(F.col(gone), k - 1), F.lit(-1))
+        return F.slice(lines, last + 2, F.coalesce(F.get(F.col(gone), k), F.size(lines)) - last - 1)
+
+    def join(lines: F.Column) -> F.Column:
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda k: run(lines, k))), "\n")
+
+    # the array of one element binds the lines, so that they are not split again for each run
+    return F.get(F.transform(F.array(F.split(text, "\n", -1)), join), F.lit(0))
+
+
 def _stripped(docs: DataFrame) -> tuple[DataFrame, str, str]:
-    """docs with the numbers of the lines that go (null: none) and the text without them; the names of these columns."""
+    """docs with the sorted numbers of the lines that go (null: none) and the text without them; the names of these columns."""
     gone, left = fresh(docs, "__gone"), fresh(docs, "__left")
-    numbers = removed_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias(gone))
-    kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n"))
+    numbers = removed_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias(gone))
+    kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(_without("text", gone))
     return docs.join(numbers, "doc_id", "left").withColumn(left, kept), gone, left
 
 

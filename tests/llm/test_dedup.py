@@ -1,4 +1,5 @@
 import re
+import time
 from collections import defaultdict
 
 from docloom.llm.common import connected_components
@@ -112,3 +113,13 @@ def test_line_dedup_equals_brute_force(spark):
     assert left.columns == docs.columns
     whole = [(d, t) for d, n, k, t in (want(*p) for p in pairs) if not k or t.strip(" \t\n\x0b\f\r")]
     assert sorted(rows(left.select("doc_id", "text")), key=str) == sorted(whole, key=str)
+
+
+def test_lines_of_one_long_document_take_linear_time(spark):
+    """A quadratic step would take minutes here."""
+    n = 240_000
+    docs = spark.range(1).selectExpr("id AS doc_id", f"concat(repeat('the same line again\n', {n}), 'last') AS text", "1 AS n")
+    start = time.perf_counter()
+    got = line_report(docs).first()
+    assert (got.n_lines, got.n_removed, got.text) == (n + 1, n - 1, "the same line again\nlast")
+    assert time.perf_counter() - start < 40
