@@ -5,8 +5,8 @@ document is toxic if any sentence is: P = 1 - prod(1 - p_sentence), the noisy-or
 carry labels; gradient descent on the noisy-or's likelihood spreads them to the sentences, so that
 the sentences that make a document toxic can be named: all whose own probability is SENTENCE_P or more.
 
-The model is fitted on the driver on at most SAMPLE_DOCS labelled documents, drawn by the hash of
-their id. A word's features are itself and its beginnings; the model keeps those whose document frequency differs between the classes by SELECT_Z
+The model is fitted on the driver on at most SAMPLE_DOCS labelled documents of SAMPLE_BYTES in all, drawn by the hash of
+their id (a document counts once, with the greatest of its texts if its id is repeated). A word's features are itself and its beginnings; the model keeps those whose document frequency differs between the classes by SELECT_Z
 standard errors. Scoring covers every whole text and is a narrow map.
 
 Defined cases: a null or wordless text is one empty sentence; labels that are null are left out, and
@@ -18,16 +18,16 @@ scored each; other columns are not used and not returned.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from docloom.llm.common import map_rows
 
 SAMPLE_DOCS = 6000
+SAMPLE_BYTES = 64 << 20
 SELECT_Z = 3.5
 MIN_DOCS = 4
 STEPS = 400
@@ -152,16 +152,19 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> NoisyOr:
-    """Fits on labelled documents outside the held-out fold, `sample_docs` of them at most."""
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> NoisyOr:
+    """Fits on labelled documents outside the held-out fold, `sample_docs` of them at most, with `sample_bytes` of text at most."""
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
     picked = (
         labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+        .orderBy(*order).limit(sample_docs)
     )
-    # sample_docs rows at most: this side is bounded by the parameter
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r[0], zlib.crc32((r[1] or "").encode("utf-8", "replace"))))
+    # sample_docs rows at most: this side is bounded by the parameter, and so is the window
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+    held = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(*order))
+    rows = found.withColumn("held", held).where(F.col("held") <= sample_bytes).select("doc_id", "text", "toxic").collect()
+    rows.sort(key=lambda r: r[0])
     return fit([r[1] for r in rows], [r[2] for r in rows])
 
 

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from docloom.llm import quality_lines
+from docloom.llm import quality_lines, toxicity
 from docloom.llm.decontam import Matcher, budget, decontaminate, find_leaks, normalise
 from docloom.llm.licenses import PHRASES, Automaton, TEMPLATES, scan_licenses, scan_text
 from docloom.llm.quality_lines import base_features, clean_documents, judge_documents
@@ -119,6 +119,16 @@ def test_toxicity_of_odd_rows(spark):
     assert rows(score_documents(docs.limit(0), train(docs, labels))) == []
 
 
+def test_training_sample_is_bounded(spark, monkeypatch):
+    found = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: found.append(texts))
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(20) for _ in range(9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    train(docs, labels, sample_docs=3)
+    train(docs, labels, sample_bytes=550)
+    assert list(map(len, found)) == [3, 5]
+
+
 # --- licences ---
 
 
