@@ -59,9 +59,11 @@ def key_side(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if small(df, bound if rows is None else rows) else df
 
 
-def join_blobs(df: DataFrame, blobs: DataFrame, key: str, blob: str) -> DataFrame:
+def join_blobs(df: DataFrame, blobs: DataFrame, key: str, blob: str, keys: DataFrame | None = None) -> DataFrame:
     """df with its key's row of a checkpointed table (key, blob of any length), left; keys are unique there.
 
+    keys has df's keys, row by row, if they are to be had for less than df itself.
+
     The table is broadcast if its counted bytes allow it. Beyond, both sides are shuffled, and the rows of a key with more than
     HOT_ROWS are dealt over as many parts as it takes, each of which gets the blob.
     """
@@ -70,7 +72,7 @@ def join_blobs(df: DataFrame, blobs: DataFrame, key: str, blob: str) -> DataFram
         return df.join(F.broadcast(blobs), key, "left")
     parts, part = fresh(df, "__parts"), fresh(df, "__part")
     # at most one such key for HOT_ROWS rows
-    hot = cut(df.groupBy(key).agg(F.ceil(F.count("*") / HOT_ROWS).cast("int").alias(parts)).where(F.col(parts) > 1))
+    hot = cut((df if keys is None else keys).groupBy(key).agg(F.ceil(F.count("*") / HOT_ROWS).cast("int").alias(parts)).where(F.col(parts) > 1))
     dealt = df.join(key_side(hot), key, "left").withColumn(part, F.pmod(F.xxhash64(*df.columns), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
     copies = blobs.join(key_side(hot), key, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)
     return dealt.join(copies, [key, part], "left").drop(part)
@@ -135,6 +137,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     # every edge points from the larger node to the smaller
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     was = mark(now)
+    if not was[0]:
+        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(rounds):
         now = cut(star(star(now, True), False))
         if (is_ := mark(now)) == was:

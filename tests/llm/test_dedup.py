@@ -1,7 +1,11 @@
+import random
 import re
 import time
 from collections import defaultdict
 
+import pytest
+
+from docloom.llm import common, parity_join
 from docloom.llm.common import connected_components
 from docloom.llm.line_dedup import dedup_documents, line_report
 from docloom.llm.parity_join import Bands, link_components, one_of_each
@@ -37,6 +41,37 @@ def test_connected_components(spark):
     assert rows(connected_components(spark.createDataFrame([], "a long, b long"))) == []
 
 
+def test_trees(spark):
+    rnd = random.Random(8)
+    up = {n: rnd.randrange(max(0, n - 3), n) for n in range(1, 90) if n % 11}
+
+    def top(n):
+        return top(up[n]) if n in up else n
+
+    assert dict(rows(parity_join._trees(spark.createDataFrame(list(up.items()), "node long, up long")))) == {n: top(n) for n in up}
+    assert rows(parity_join._trees(spark.createDataFrame([], "node long, up long"))) == []
+
+
+def test_links_that_no_leader_has(spark):
+    """Documents tied to one that links with none of them, and a large tree beside small ones."""
+    rnd = random.Random(3)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    shared = [word() for _ in range(60)]
+    texts = []
+    for _ in range(12):
+        body = [word() for _ in range(200)]
+        for _ in range(rnd.randrange(1, 12)):
+            t = list(body)
+            for _ in range(rnd.randrange(0, 8)):
+                t[rnd.randrange(200)] = word()
+            texts.append(" ".join(shared + t))
+    texts.insert(0, " ".join(shared))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [shingle_set(t) for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert {d: c for d, _, c in rows(link_components(docs))} == components(range(len(texts)), links)
+
+
 def test_bands_hold_every_linked_pair():
     """The bound of each set covers any partner, and both of a linked pair take part in a common band with more blocks than bound."""
     bands = Bands()
@@ -48,8 +83,12 @@ def test_bands_hold_every_linked_pair():
                 assert any(x[k][1] >= d and y[k][1] >= d and x[k][0] == y[k][0] > d for k in shared), (a, b)
 
 
-def test_jaccard_components_equal_brute_force(spark):
+@pytest.mark.parametrize("tiny", [False, True])
+def test_jaccard_components_equal_brute_force(spark, monkeypatch, tiny):
     docs = odd_documents(spark)
+    if tiny:  # clusters of many blocks, no broadcast, leaders with more documents than a part takes
+        for module, name, value in ((parity_join, "BLOCK_DOCS", 2), (parity_join, "BLOCK_SHINGLES", 300), (common, "BROADCAST_BYTES", 0), (common, "HOT_ROWS", 2)):
+            monkeypatch.setattr(module, name, value)
     sets = defaultdict(list)
     for d, t in rows(docs.select("doc_id", "text")):
         if d is not None:
