@@ -1,13 +1,15 @@
+import itertools
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from importlib import resources
 
 import pytest
 
-from docloom.llm import quality_lines, toxicity
+from docloom.llm import licenses, quality_lines, toxicity
 from docloom.llm.decontam import Matcher, budget, decontaminate, find_leaks, normalise
-from docloom.llm.licenses import PHRASES, Automaton, TEMPLATES, scan_licenses, scan_text
+from docloom.llm.licenses import NOTICES, PHRASES, Automaton, scan_licenses, scan_text, templates
 from docloom.llm.quality_lines import base_features, clean_documents, judge_documents
 from docloom.llm.toxicity import fit, score_documents, train
 from tests.llm.common import odd_documents, prose, rows
@@ -151,19 +153,60 @@ def test_automaton_gives_matching_statistics():
         assert {(a, b) for a, b, _ in found} == places and len(found) == len(places)
 
 
+def test_chains_equal_brute_force(monkeypatch):
+    """The best chain of one template's matches, over all subsets of them."""
+    rnd, seen = random.Random(12), 0
+    monkeypatch.setattr(licenses, "MIN_MATCH", 2)
+    monkeypatch.setattr(licenses, "MAX_GAP", 3)
+    monkeypatch.setattr(licenses, "MIN_COVER", 0.5)
+    for _ in range(400):
+        template = [rnd.choice("abcdef") for _ in range(rnd.randrange(4, 9))]
+        machine = Automaton([("t", " ".join(template))], {})
+        text = [w for w in template * 2 if rnd.random() < 0.8]
+        for _ in range(rnd.randrange(3)):
+            text.insert(rnd.randrange(len(text) + 1), rnd.choice("abcdefz"))
+        matches, _ = machine.stream([w.encode() for w in text])
+        own = sorted((a, b, e - (b - a), e) for a, b, state in matches for _, e in machine.ends[state] if b - a >= 2)
+        best = 0
+        for k in range(1, len(own) + 1) if len(own) <= 9 else ():
+            for chain in itertools.combinations(own, k):
+                fits = all(y[0] - x[1] <= 3 and x[1] <= y[0] + 2 and x[3] <= y[3] and x[2] < y[2] and x[0] < y[0] for x, y in itertools.pairwise(chain))
+                if fits:
+                    best = max(best, sum(y[3] - max(y[2], x[3]) for x, y in itertools.pairwise(chain)) + chain[0][3] - chain[0][2])
+        if len(own) <= 9:
+            found = max((s[3] for s in machine.spans([w.encode() for w in text], matches)), default=0)
+            assert found == (min(1.0, best / len(template)) if best >= 0.5 * len(template) else 0), (template, text)
+            seen += best > 0
+    assert seen > 200
+
+
 def test_licence_labels():
     r = scan_text("Intro. All RIGHTS, reserved! cc-by and cc by; x General Public License")
     assert (r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (4, 1, 10, "cc-by,gpl,reserved")
-    mit = next(t for label, t in TEMPLATES if label == "mit" and len(t) > 100)
+    mit = next(t for label, t in NOTICES if label == "mit")
     edited = mit.replace("free of charge", "for free").replace("sublicense, ", "")
     r = scan_text("foo bar " + edited + " the end")
     assert r["labels"] == "mit" and 0.6 <= r["score"] < 1 and r["base_labels"] == ""
     assert scan_text("the license of the software")["labels"] == ""
-    for _, t in TEMPLATES:
-        assert scan_text(t)["score"] == 1.0
+    for label, t in templates():
+        r = scan_text(t)
+        assert r["score"] == 1.0 and label in r["labels"].split(","), label
     assert scan_text(None) == scan_text("") and scan_text("")["score"] == 0.0
 
 
+def test_full_texts_are_told_apart():
+    """Each licence's own text, whole and with one word in twenty changed, gets its label and no other's."""
+    rnd = random.Random(13)
+    full = templates()[: len(list((resources.files("docloom.llm") / "licence_texts").iterdir()))]
+    assert len(full) >= 30 and len({label for label, _ in full}) == len(full)
+    for label, t in full:
+        changed = " ".join(f"x{rnd.randrange(99)}" if rnd.random() < 0.05 else w for w in t.split())
+        for text in (t, changed):
+            assert {s["label"] for s in scan_text(f"before {text} after")["spans"]} == {label}
+    both = full[0][1] + " and " + full[1][1]
+    assert [s["label"] for s in scan_text(both)["spans"]] == [full[0][0], full[1][0]]
+
+
 def test_licences_of_odd_rows(spark):
     docs = odd_documents(spark)
     out = scan_licenses(docs)
