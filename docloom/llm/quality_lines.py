@@ -2,7 +2,7 @@
 
 Each line is normalised (A-Z lower-cased, its words joined by one space) and hashed. For each host
 the distinct documents with a line are counted over all documents. A line is above the limit if
-more than MIN_LINE_DOCS documents of the host have it and more than LINE_SHARE of the host's documents;
+more than MIN_LINE_DOCS documents of the host have it, and more than LINE_SHARE of the host's documents or MAX_LINE_DOCS of them, whatever its size;
 it is removed from all of them but the one with the smallest doc_id, so that the only text of a much copied
 document is not lost. A document is rejected if it fails the base rules, or if under KEEP_SHARE of
 its words are left.
@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 from docloom.llm.common import cut, fresh, key_side, map_rows, slices, small
 
 MIN_LINE_DOCS = 20
+#: A line is above the limit in more than MIN_LINE_DOCS documents of a host and more than this share of them, or than MAX_LINE_DOCS.
 LINE_SHARE = 0.02
+MAX_LINE_DOCS = 100
 KEEP_SHARE = 0.5
 #: Lines above the limit up to which every task gets all of them: about 20 MB.
 ABOVE_LINES = 100_000
@@ -102,7 +104,7 @@ def _above(measured: DataFrame) -> DataFrame:
         .groupBy("host", "key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
         .where(F.col("docs") > MIN_LINE_DOCS)
     )
-    return cut(counted.join(hosts, "host").where(F.col("docs") > F.col("host_docs") * F.lit(LINE_SHARE)).select("host", "key", "first_doc"))
+    return cut(counted.join(hosts, "host").where(F.col("docs") > F.least(F.col("host_docs") * F.lit(LINE_SHARE), F.lit(float(MAX_LINE_DOCS)))).select("host", "key", "first_doc"))
 
 
 def _excess(measured: DataFrame, above: DataFrame) -> DataFrame:

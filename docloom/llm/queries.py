@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm.common import table
 from docloom.llm.line_dedup import MIN_WORDS as LINE_WORDS
-from docloom.llm.quality_lines import KEEP_SHARE, LINE_SHARE, MAX_REPEAT_PERCENT, MIN_LINE_DOCS, MIN_WORDS
+from docloom.llm.quality_lines import KEEP_SHARE, LINE_SHARE, MAX_LINE_DOCS, MAX_REPEAT_PERCENT, MIN_LINE_DOCS, MIN_WORDS
 
 # Fixed values of the contracts.
 TOKEN_LIMIT = 1024
@@ -98,7 +98,7 @@ ORACLE = {
         norm AS (SELECT doc_id, host, {_WORDS.format(f"translate(ln, '{_UP}', '{_LOW}')")} AS lw FROM lines),
         per AS (SELECT doc_id, host, lw, sum(len(lw)) AS words FROM norm GROUP BY ALL),
         hosts AS (SELECT host, count(DISTINCT doc_id) AS n FROM d GROUP BY 1),
-        above AS (SELECT host, lw, min(doc_id) AS f FROM per JOIN hosts USING (host) GROUP BY host, lw, n HAVING count(DISTINCT doc_id) > {MIN_LINE_DOCS} AND count(DISTINCT doc_id) > n * {LINE_SHARE}),
+        above AS (SELECT host, lw, min(doc_id) AS f FROM per JOIN hosts USING (host) GROUP BY host, lw, n HAVING count(DISTINCT doc_id) > {MIN_LINE_DOCS} AND count(DISTINCT doc_id) > least(n * {LINE_SHARE}, {MAX_LINE_DOCS})),
         lost AS (SELECT doc_id, sum(words) AS gone FROM per JOIN above USING (host, lw) WHERE doc_id <> f GROUP BY 1),
         b AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
               CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines,

@@ -55,6 +55,16 @@ def test_lines_above_the_limit(spark, monkeypatch, listed):
     assert banner in clean[0] and banner not in clean[1] and banner in clean[202]
 
 
+def test_a_hot_host_has_the_same_limit(spark, monkeypatch):
+    """A line in a hundredth of a host's documents is above the limit once it is in MAX_LINE_DOCS of them."""
+    monkeypatch.setattr(quality_lines, "MAX_LINE_DOCS", 30)
+    rnd = random.Random(14)
+    docs = [(i, prose(rnd, 60, 5000) + ("\nshared by some of the many" if i % 100 == 0 else "\nshared by few of the many" if i % 160 == 0 else ""), "hot") for i in range(4000)]
+    got = {r.doc_id: r for r in judge_documents(spark.createDataFrame(docs, "doc_id long, text string, source string")).where("doc_id % 100 = 0 OR doc_id % 160 = 0").collect()}
+    assert [d for d, r in got.items() if r.n_removed_words] == [d for d in got if d % 100 == 0 and d]
+    assert got[160].n_removed_words == 0
+
+
 def test_quality_of_odd_rows(spark, monkeypatch):
     docs = odd_documents(spark)
     got = judge_documents(docs)
