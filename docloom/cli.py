@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import SparkSession, functions as F
@@ -77,10 +78,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0
     source = a.type or EXTENSION_OF.get(first.mime, "bin")
     rows = docs.select(base.alias("base"), "content")
+    # licences count where any is set or they are turned off
+    products = registry.licensed_products(os.environ) if any(k.startswith("DOCLOOM_LICENSE_") for k in os.environ) else None
     if a.command == "convert":
-        done = conversions.convert(rows, source, a.to, a.backend, options_of(a)).withColumn("filename", F.concat("base", F.lit(f".{a.to}"))).withColumnRenamed("result", "content")
+        done = conversions.convert(rows, source, a.to, a.backend, options_of(a), products).withColumn("filename", F.concat("base", F.lit(f".{a.to}"))).withColumnRenamed("result", "content")
     else:
-        found = conversions.split(rows, source, a.backend, options_of(a))
+        found = conversions.split(rows, source, a.backend, options_of(a), products)
         named = found.withColumn("filename", fragment_filename(F.col("index") + 1, F.col("total"), F.col("label"), extension_for(F.col("mime"))))
         if a.extract:
             done = named.withColumn("filename", F.concat("base", F.lit("/"), "filename"))

@@ -176,8 +176,12 @@ def sniff(content) -> Column:
     Office containers are told apart by the names in the ZIP's central directory; in the first 4 KB if it has none.
     """
     content = F.col(content) if isinstance(content, str) else content
-    head = F.substring(content, 1, 4096)
-    hexed = F.hex(F.substring(content, 1, 264))
+    # bound once: the cases look at them many times
+    seen = F.struct(content.alias("content"), F.substring(content, 1, 4096).alias("head"), F.hex(F.substring(content, 1, 264)).alias("hexed"))
+    return F.element_at(F.transform(F.array(seen), lambda s: _sniffed(s["content"], s["head"], s["hexed"])), 1)
+
+
+def _sniffed(content: Column, head: Column, hexed: Column) -> Column:
     out = F.when(F.length(content) == 0, OCTET)
     for magic, mime in _MAGIC:
         out = out.when(hexed.startswith(magic), mime)

@@ -11,7 +11,7 @@ import os
 import shutil
 import subprocess
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import cache
 from html.parser import HTMLParser
 from xml.sax.saxutils import escape
@@ -22,10 +22,26 @@ from docloom.functions.mime import SHORT
 from docloom.functions.options import ConvertOptions
 from docloom.operators import archive, mail, pdf, slides, text_split, watermark, word, workbook  # noqa: F401
 from docloom.operators.base import ConversionError, Fragment, convert_documents, split_documents
-from docloom.plans.registry import _SPLITS, BACKENDS, COMMERCIAL, OFFICE
+from docloom.plans.registry import _SPLITS, BACKENDS, COMMERCIAL, OFFICE, product_for_split, products_for
 
 _SHORT_OF = {m: s for s, m in SHORT.items()} | {SHORT["plain"]: "plain", SHORT["markdown"]: "markdown", SHORT["jpeg"]: "jpeg", "text/xml": "xml"}
 OFFICE_SECONDS = 120
+#: Documents after which the office process gets a fresh profile.
+OFFICE_TASKS = 200
+
+# Routes of the licensed backend that an office process can take too.
+OFFICE_TOO = [(a, b) for line in """
+xls: html csv
+xlsb: html csv
+xlsx: xlsm xlsb
+ppt: html
+pdf: png jpeg docx doc
+doc: plain markdown
+docx: rtf
+eml: pdf
+""".strip().splitlines() for a, _, rest in [line.partition(":")] for b in rest.split()]
+#: Types without a reader here, and what an office process makes of them to be read.
+MODERN = {"xls": "xlsx", "xlsb": "xlsx", "doc": "docx", "ppt": "pptx"}
 
 
 class _Text(HTMLParser):
@@ -67,7 +83,9 @@ def any_text(content: bytes, source: str) -> str:
             inner = _SHORT_OF.get(mime, "bin")
             parts.append(f"{name}\n" + (any_text(data, inner) if data and (inner in how or mime.startswith("text/")) else ""))
         return "\n".join(parts)
-    if source in ("doc", "xls", "ppt", "msg", "xlsb", "7z"):
+    if source in MODERN:
+        return how[MODERN[source]](office_convert(content, source, MODERN[source]))
+    if source in ("msg", "7z"):
         raise ConversionError("Resource", f"no reader for {source}")
     return content.decode("utf-8", "replace")
 
@@ -82,22 +100,74 @@ def office_path() -> str | None:
     return os.environ.get("SOFFICE_PATH") or shutil.which("soffice")
 
 
-def office_convert(content: bytes, source: str, target: str) -> bytes:
+class _Profile:
+    """An office profile of this worker, made once and for OFFICE_TASKS documents; a failed task ends it."""
+
+    def __init__(self):
+        self.folder: tempfile.TemporaryDirectory | None = None
+        self.tasks = 0
+
+    def take(self) -> str:
+        if self.folder is None or self.tasks >= OFFICE_TASKS:
+            self.drop()
+            self.folder = tempfile.TemporaryDirectory()
+        self.tasks += 1
+        return self.folder.name
+
+    def drop(self) -> None:
+        if self.folder is not None:
+            self.folder.cleanup()
+        self.folder, self.tasks = None, 0
+
+
+_PROFILE = _Profile()
+
+
+def office_convert(content: bytes, source: str, target: str, options: ConvertOptions = ConvertOptions()) -> bytes:
     if not (path := office_path()):
         raise ConversionError("Resource", "no office process on this machine")
+    if target == "pdf" and source in ("xlsx", "xlsm", "ods"):
+        content = workbook.page_setup(content, options)
+    extra = ["--infilter=writer_pdf_import"] if source == "pdf" and target in ("docx", "doc") else []
+    kind = {"plain": "txt", "jpeg": "jpg"}.get(target, target)
     with tempfile.TemporaryDirectory() as d:  # the process reads and writes files; they live as long as the call
         with open(f"{d}/in.{source}", "wb") as f:
             f.write(content)
         try:
-            subprocess.run([path, f"-env:UserInstallation=file://{d}/profile", "--headless", "--convert-to", target, "--outdir", d, f"{d}/in.{source}"], check=True, capture_output=True, timeout=OFFICE_SECONDS)
+            subprocess.run([path, f"-env:UserInstallation=file://{_PROFILE.take()}", "--headless", *extra, "--convert-to", kind, "--outdir", d, f"{d}/in.{source}"], check=True, capture_output=True, timeout=OFFICE_SECONDS)
         except subprocess.TimeoutExpired as e:
+            _PROFILE.drop()
             raise ConversionError("Timeout", f"the office process took over {OFFICE_SECONDS} s") from e
         except subprocess.CalledProcessError as e:
+            _PROFILE.drop()
             raise ConversionError("Render", e.stderr.decode(errors="replace")[-500:]) from e
-        with open(f"{d}/in.{target}", "rb") as f:
+        with open(f"{d}/in.{kind}", "rb") as f:
             return f.read()
 
 
+def _office(source: str, target: str, o: ConvertOptions) -> Callable[[bytes], bytes | str]:
+    """The office process's way of a route; two steps where it has no direct one."""
+    if (source, target) == ("eml", "pdf"):
+        return lambda c: office_convert(mail.mail_to_html(c).encode(), "html", "pdf", o)
+    if (source, target) == ("doc", "markdown"):
+        return lambda c: word.to_markdown(office_convert(c, "doc", "docx"))
+    return lambda c: office_convert(c, source, target, o)
+
+
+def _parsed(how: Callable[[bytes], bytes | str]) -> Callable[[bytes], bytes | str]:
+    """What can't be read as its type is a Parse error."""
+
+    def run(content: bytes):
+        try:
+            return how(content)
+        except ConversionError:
+            raise
+        except Exception as e:
+            raise ConversionError("Parse", str(e) or type(e).__name__) from e
+
+    return run
+
+
 def _own(source: str, target: str, o: ConvertOptions) -> Callable[[bytes], bytes | str] | None:
     """The library's own converter of a route, if it has one."""
     sheets = ("xlsx", "xlsm", "ods")
@@ -107,8 +177,8 @@ def _own(source: str, target: str, o: ConvertOptions) -> Callable[[bytes], bytes
 
         return refuse
     if source in sheets and target in ("csv", "json", "markdown", "html"):
-        how = {"csv": lambda c: workbook.to_csv(c, o.sheet_names), "json": lambda c: workbook.to_json(c, o.sheet_names), "markdown": lambda c: workbook.to_markdown(c, o.sheet_names), "html": workbook.to_html}
-        return how[target]
+        how = {"csv": workbook.to_csv, "json": workbook.to_json, "markdown": workbook.to_markdown, "html": workbook.to_html}[target]
+        return lambda c: how(c, o.sheet_names, o.evaluate_formulas)
     if source == "pdf" and target == "pdf":
         if o.remove_watermarks or o.remove_watermarks_aggressive:
             return lambda c: pdf.remove_watermarks(c, o.remove_watermarks_aggressive)
@@ -145,16 +215,16 @@ def converter(backend: str, source: str, target: str, options: ConvertOptions =
         return fail("UnsupportedConversion", f"{source} to {target} isn't a route of {backend}")
     if backend == "core":
         if target == "plain":
-            return lambda c: any_text(c, source)
+            return _parsed(lambda c: any_text(c, source))
         if target == "xml":
-            return lambda c: any_xml(c, source)
+            return _parsed(lambda c: any_xml(c, source))
         if (source, target) == ("xlsx", "ods"):
             return workbook.xlsx_to_ods
         return fail("UnsupportedConversion", f"{source} to {target} isn't a route of core")
     if own := _own(source, target, options):
-        return own
-    if backend == "office":
-        return lambda c: office_convert(c, source, target)
+        return _parsed(own) if target == "plain" else own
+    if backend == "office" or (source, target) in OFFICE_TOO:
+        return _office(source, target, options)
     return fail("Resource", f"no licence for {source} to {target}")
 
 
@@ -174,12 +244,26 @@ def first_success(tries: list[Callable[[bytes], bytes | str]]) -> Callable[[byte
     return run
 
 
-def convert(df: DataFrame, source: str, target: str, backend: str | None = None, options: ConvertOptions = ConvertOptions()) -> DataFrame:
-    """df(..., content) with result and error; a named backend is used alone, else each in order. Equal types pass through."""
+def converters(source: str, target: str, backend: str | None = None, options: ConvertOptions = ConvertOptions(), products: Sequence[str] | None = None) -> list[Callable[[bytes], bytes | str]]:
+    """A named backend's converter alone, else each backend's in order. With a list of licensed products, the commercial one needs those of the route."""
+    names = [backend] if backend else BACKENDS
+    return [converter(b, source, target, options) for b in names if b != "commercial" or products is None or set(products_for(source, target)) <= set(products)]
+
+
+def splitters(source: str, backend: str | None = None, options: ConvertOptions = ConvertOptions(), products: Sequence[str] | None = None) -> list[Callable[[bytes], list[Fragment]]]:
+    names = [backend] if backend else BACKENDS
+    return [splitter(b, source, options) for b in names if b != "commercial" or products is None or product_for_split(source) in products]
+
+
+def convert(df: DataFrame, source: str, target: str, backend: str | None = None, options: ConvertOptions = ConvertOptions(), products: Sequence[str] | None = None) -> DataFrame:
+    """df(..., content) with result and error; a named backend is used alone, else each in order. Equal types pass through.
+
+    products: the licensed ones, without which the commercial backend is passed over; null: licences aren't looked at.
+    """
     s, t = _SHORT_OF.get(SHORT.get(source, source), source), _SHORT_OF.get(SHORT.get(target, target), target)
     if s == t and not (s == "pdf" and (options.remove_watermarks or options.remove_watermarks_aggressive)):
         return convert_documents(df, lambda c: c)
-    return convert_documents(df, first_success([converter(b, s, t, options) for b in ([backend] if backend else BACKENDS)]))
+    return convert_documents(df, first_success(converters(s, t, backend, options, products)))
 
 
 def splitter(backend: str, source: str, options: ConvertOptions = ConvertOptions()) -> Callable[[bytes], list[Fragment]]:
@@ -199,6 +283,8 @@ def splitter(backend: str, source: str, options: ConvertOptions = ConvertOptions
         "plain": lambda c: _paragraphs(c), "csv": lambda c: _rows(c),
     }
     table["xlsm"] = table["ods"] = table["xlsx"]
+    if source in MODERN:
+        return lambda c: table[MODERN[source]](office_convert(c, source, MODERN[source]))
     return table.get(source) or fail("Resource", f"no reader for {source}")
 
 
@@ -215,7 +301,7 @@ def _rows(content: bytes) -> list[Fragment]:
     return [(f"{head}\n{r}".encode(), SHORT["csv"], i, f"Row {i + 2}") for i, r in enumerate(x for x in rows if x.strip())]
 
 
-def split(df: DataFrame, source: str, backend: str | None = None, options: ConvertOptions = ConvertOptions()) -> DataFrame:
-    """df(..., content) to fragments; a named backend is used alone, else each in order."""
+def split(df: DataFrame, source: str, backend: str | None = None, options: ConvertOptions = ConvertOptions(), products: Sequence[str] | None = None) -> DataFrame:
+    """df(..., content) to fragments; a named backend is used alone, else each in order; products as for convert."""
     s = _SHORT_OF.get(SHORT.get(source, source), source)
-    return split_documents(df, first_success([splitter(b, s, options) for b in ([backend] if backend else BACKENDS)]))
+    return split_documents(df, first_success(splitters(s, backend, options, products)))

@@ -248,26 +248,31 @@ def from_image(content: bytes) -> bytes:
 
 _SAFE = {x.encode() for x in WRAPPERS + PATHS + PAINTS}
 _DRAW = {x.encode() for x in PATHS + PAINTS}
-_MARK = {b"BMC", b"BDC", b"EMC"}
 
 
 def _tail(ops: list[tuple[bytes, bytes]]) -> int:
-    """Index of the first operator after the last text block."""
-    return max((i + 1 for i, (_, c) in enumerate(ops) if c == b"ET"), default=0)
+    """Index of the first operator after the last text block; the end of a page that has none, as nothing trails there."""
+    return max((i + 1 for i, (_, c) in enumerate(ops) if c == b"ET"), default=len(ops))
 
 
 def strip_marked(ops: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
-    """Without a trailing block that is marked as a watermark and holds nothing but drawing."""
+    """Without trailing blocks that are marked as watermarks and hold the only drawing there; anything else there keeps it all."""
     at = _tail(ops)
-    tail = ops[at:]
-    depth = low = 0
-    for _, c in tail:
-        depth += (c in (b"BMC", b"BDC")) - (c == b"EMC")
-        low = min(low, depth)
-    marked = any(c in (b"BMC", b"BDC") and b"/Watermark" in text for text, c in tail)
-    if marked and not depth and low == 0 and all(c in _SAFE | _MARK for _, c in tail) and any(c in _DRAW for _, c in tail):
-        return ops[:at]
-    return ops
+    depth, drawn, marked = 0, False, False
+    for text, c in ops[at:]:
+        if c in (b"BMC", b"BDC"):
+            if not re.search(rb"/watermark\b", text, re.I) or b"/Watermark" not in text and not re.match(rb"\s*/watermark\b", text, re.I):
+                return ops
+            depth, marked = depth + 1, True
+        elif c == b"EMC":
+            depth -= 1
+            if depth < 0:
+                return ops
+        elif c not in _SAFE or c in _DRAW and not depth:
+            return ops
+        else:
+            drawn = drawn or c in _DRAW
+    return ops[:at] if marked and drawn and not depth else ops
 
 
 def removable(ops: list[tuple[bytes, bytes]]) -> int:

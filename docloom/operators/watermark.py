@@ -27,8 +27,8 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def trailing_ops(ops) -> Column:
-    """The operators after the last ET; all if there is none."""
-    after = lambda o, last: F.when(last > 0, F.slice(o, F.size(o) - last + 2, F.greatest(last - 1, F.lit(0)))).otherwise(o)
+    """The operators after the last ET; none if there is no ET."""
+    after = lambda o, last: F.when(last > 0, F.slice(o, F.size(o) - last + 2, F.greatest(last - 1, F.lit(0)))).otherwise(F.slice(o, 1, 0))
     place = lambda o: F.array_position(F.reverse(F.transform(o, command)), F.lit("ET")).cast("int")
     return _once(ops, lambda o: _once(F.struct(o.alias("o"), place(o).alias("last")), lambda s: after(s["o"], s["last"])))
 

@@ -6,7 +6,8 @@ service: empty body 400, target 400, backend 400, backend not there 503, no rout
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import fields
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -15,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from docloom.functions.errors import error
 from docloom.functions.mime import OCTET, detect_request, target_shorthand
+from docloom.functions.options import PAPER_SIZES, ConvertOptions
 from docloom.operators.base import as_error
 from docloom.plans import registry
 from docloom.schema import ERROR
@@ -30,8 +32,6 @@ def parse_backend(b) -> Column:
 
 def parse_options(params: dict[str, Column]) -> dict[str, Column]:
     """Option columns from request parameters: unknown paper sizes are dropped, sheet names are split at commas."""
-    from docloom.functions.options import PAPER_SIZES
-
     out = dict(params)
     if "sheet" in out:
         out["sheet_names"] = F.filter(F.transform(F.split(out.pop("sheet"), ","), lambda s: F.trim(s)), lambda s: s != "")
@@ -44,6 +44,22 @@ def parse_options(params: dict[str, Column]) -> dict[str, Column]:
     return out
 
 
+#: Request parameters that are options, and the option each sets.
+PARAMETERS = {"password": "password", "sheet": "sheet_names", "paper_size": "paper_size"} | {f.name: f.name for f in fields(ConvertOptions) if f.name not in ("password", "sheet_names", "paper_size")}
+
+
+def option_struct(requests: DataFrame) -> Column:
+    """The options of a request from its columns of parameters; a parameter that is absent or null is at its default."""
+    given = parse_options({p: F.col(p).cast("string") for p in PARAMETERS if p in requests.columns})
+    return F.struct(*[c.alias(n) for n, c in given.items()]) if given else F.lit(None).cast("struct<none: boolean>")
+
+
+def options_of(given: dict | None) -> ConvertOptions:
+    found = {k: tuple(v) if k == "sheet_names" else v for k, v in (given or {}).items() if v is not None and k != "none"}
+    found["remove_watermarks"] = found.get("remove_watermarks", False) or found.get("remove_watermarks_aggressive", False)
+    return ConvertOptions(**found)
+
+
 def _typed(requests: DataFrame) -> DataFrame:
     source = detect_request(F.col("content_type"), F.col("body"), F.coalesce(F.col("detect") == "content", F.lit(False)))
     return requests.withColumns({"source": source, "backend_name": parse_backend(F.col("backend"))})
@@ -67,20 +83,20 @@ def _guard(spark: SparkSession, df: DataFrame, relation: DataFrame, on: list[str
 
 
 def _apply(df: DataFrame, added: str, work) -> DataFrame:
-    """request_id and the added columns; work(source, target, backend) gives a function of the body to rows."""
-    kept = df.select("request_id", "source", F.col("target_mime"), "backend_name", "fault", "body")
+    """request_id and the added columns; work(source, target, backend, options) gives a function of the body to rows."""
+    kept = df.select("request_id", "source", F.col("target_mime"), "backend_name", "fault", option_struct(df).alias("options"), "body")
     schema = StructType(kept.select("request_id").schema.fields + StructType.fromDDL(f"{added}, error {ERROR}").fields)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for rid, source, target, backend, fault, body in zip(*(c.to_pylist() for c in batch.columns)):
+            for rid, source, target, backend, fault, options, body in zip(*(c.to_pylist() for c in batch.columns)):
                 if fault is not None:
                     out.append((rid, *[None] * (len(arrow) - 2), fault))
                     continue
                 try:
-                    out += [(rid, *row, None) for row in work(source, target, backend)(body)]
+                    out += [(rid, *row, None) for row in work(source, target, backend, options_of(options))(body)]
                 except Exception as e:
                     out.append((rid, *[None] * (len(arrow) - 2), as_error(e, "Render")))
             cols = list(zip(*out)) or [()] * len(arrow)
@@ -89,18 +105,18 @@ def _apply(df: DataFrame, added: str, work) -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
-def convert_requests(spark: SparkSession, requests: DataFrame, office: bool = False) -> DataFrame:
-    """request_id, status, content_type, content_length, body of the responses."""
-    from docloom.operators.convert import _SHORT_OF, converter, first_success
+def convert_requests(spark: SparkSession, requests: DataFrame, office: bool = False, products: Sequence[str] | None = None) -> DataFrame:
+    """request_id, status, content_type, content_length, body of the responses. Columns named as options (password, sheet, ...) are theirs."""
+    from docloom.operators.convert import _SHORT_OF, converters, first_success
 
     typed = _typed(requests).withColumn("target_mime", target_shorthand(F.col("target")))
     relation = registry.routes(spark).withColumnRenamed("target", "target_mime")
     guarded = _guard(spark, typed, relation, ["source", "target_mime"], office)
 
-    def work(source, target, backend):
+    def work(source, target, backend, options):
         def run(body):
             s, t = _SHORT_OF.get(source, source), _SHORT_OF.get(target, target)
-            out = first_success([converter(b, s, t) for b in ([backend] if backend else registry.BACKENDS)])(body)
+            out = first_success(converters(s, t, backend, options, products))(body)
             return [(target, out.encode() if isinstance(out, str) else out)]
 
         return run
@@ -108,19 +124,19 @@ def convert_requests(spark: SparkSession, requests: DataFrame, office: bool = Fa
     return _responses(_apply(guarded, "content_type string, body binary", work))
 
 
-def split_requests(spark: SparkSession, requests: DataFrame, office: bool = False) -> DataFrame:
+def split_requests(spark: SparkSession, requests: DataFrame, office: bool = False, products: Sequence[str] | None = None) -> DataFrame:
     """request_id, status, content_type, content_length, body: a ZIP archive of the fragments for each request."""
     from docloom.operators.archive import build_zip
-    from docloom.operators.convert import _SHORT_OF, first_success, splitter
+    from docloom.operators.convert import _SHORT_OF, first_success, splitters
 
     typed = _typed(requests.withColumn("target", F.lit("zip"))).withColumn("target_mime", F.lit("application/zip"))
     guarded = _guard(spark, typed, registry.splits(spark), ["source"], office)
 
-    def work(source, _, backend):
+    def work(source, _, backend, options):
         from docloom.functions.mime import EXTENSION_OF
 
         def run(body):
-            found = first_success([splitter(b, _SHORT_OF.get(source, source)) for b in ([backend] if backend else registry.BACKENDS)])(body)
+            found = first_success(splitters(_SHORT_OF.get(source, source), backend, options, products))(body)
             for f in found:
                 if isinstance(f[0], Exception):
                     raise f[0]
@@ -143,21 +159,36 @@ def _responses(df: DataFrame) -> DataFrame:
 
 
 def info_requests(spark: SparkSession, requests: DataFrame) -> DataFrame:
-    """request_id, json: type, size, whether and into how many it splits, and what it converts to."""
-    from docloom.operators.convert import _SHORT_OF, first_success, splitter
+    """request_id, json: type, size, metadata, whether and into how many it splits, and what it converts to.
+
+    The body is read once, where it lies: size, metadata and count come from one map, and only they go on.
+    """
+    from docloom.operators.convert import _SHORT_OF, first_success, splitters
+    from docloom.operators.info import metadata_of
 
     typed = _typed(requests.withColumn("target", F.lit("info")))
     divisible = registry.splits(spark, ("commercial", "core")).select("source").distinct().withColumn("can_split", F.lit(True))
-    marked = typed.join(F.broadcast(divisible), "source", "left").withColumn("fault", F.lit(None).cast(ERROR)).withColumn("target_mime", F.lit(None).cast("string"))
+    marked = typed.join(F.broadcast(divisible), "source", "left").withColumn("fault", F.lit(None).cast(ERROR)).withColumn("target_mime", F.col("can_split").cast("string"))
+
+    def work(source, divided, backend, options):
+        def run(body):
+            body = body or b""
+            meta = [(k, v) for k, v in metadata_of(body, source).items() if k not in ("fileSize", "detectedType")]
+            try:
+                n = len(first_success(splitters(_SHORT_OF.get(source, source)))(body)) if divided else None
+            except Exception:  # information is given of what can't be split too, without a count
+                n = None
+            return [(source, len(body), meta, divided is not None, n)]
 
-    def work(source, _, backend):
-        return lambda body: [(len(first_success([splitter(b, _SHORT_OF.get(source, source)) for b in registry.BACKENDS])(body)),)]
+        return run
 
-    counted = _apply(marked.where("can_split"), "fragment_count int", work).select("request_id", "fragment_count")
-    targets = registry.available_targets(marked.withColumn("mime", F.col("source")), spark, registry.SERVER_TARGETS, keep_self=True)
-    joined = targets.join(counted, "request_id", "left")
-    out = F.struct(F.col("mime"), F.length("body").cast("long").alias("size"), F.coalesce("can_split", F.lit(False)).alias("canSplit"), F.col("fragment_count").alias("fragmentCount"), F.when(F.col("targets") == "", F.expr("CAST(array() AS array<string>)")).otherwise(F.split("targets", ",")).alias("availableConversions"))
-    return joined.select("request_id", F.to_json(out).alias("json"))
+    measured = _apply(marked, "mime string, size long, metadata map<string, array<string>>, can_split boolean, fragment_count int", work)
+    targets = registry.available_targets(measured, spark, registry.SERVER_TARGETS, keep_self=True)
+    out = F.struct(
+        F.col("mime"), F.col("size"), F.when(F.size("metadata") > 0, F.col("metadata")).alias("metadata"), F.col("can_split").alias("canSplit"), F.col("fragment_count").alias("fragmentCount"),
+        F.when(F.col("targets") == "", F.expr("CAST(array() AS array<string>)")).otherwise(F.split("targets", ",")).alias("availableConversions"),
+    )
+    return targets.select("request_id", F.to_json(out).alias("json"))
 
 
 def health(spark: SparkSession, office: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from docloom import expected as E
 from docloom.functions import errors, mime as M, naming, options as O, paths, text as T
 from docloom.operators import archive, convert as C, info, mail, pdf, slides, text_split, watermark as W, word, workbook as B
 from docloom.plans import pipeline as P, registry as R
@@ -391,12 +392,9 @@ def _ops() -> Column:
     return F.transform(F.split("text", " "), lambda w: F.get(F.array(*map(F.lit, _OPCODES)), F.length(w) % 10))
 
 
-_IN = lambda names: "(" + ", ".join(f"'{x}'" for x in names) + ")"
-
-
 @query(f"""WITH o AS (SELECT doc_id, {_OPS} AS ops FROM documents),
-t AS (SELECT doc_id, ops[coalesce(list_max(list_filter(range(1, len(ops) + 1), lambda i: ops[i] = 'ET')), 0) + 1:] AS tail FROM o)
-SELECT doc_id, CAST(len(tail) AS INT) AS tail, CAST(CASE WHEN len(list_filter(tail, lambda o: {_CMD} NOT IN {_IN(W.WRAPPERS + W.PATHS + W.PAINTS)})) = 0 AND len(list_filter(tail, lambda o: {_CMD} IN {_IN(W.PATHS + W.PAINTS)})) > 0 THEN len(tail) ELSE 0 END AS INT) AS removable FROM t""")
+t AS (SELECT doc_id, CASE WHEN list_contains(ops, 'ET') THEN ops[list_max(list_filter(range(1, len(ops) + 1), lambda i: ops[i] = 'ET')) + 1:] ELSE [] END AS tail FROM o)
+SELECT doc_id, CAST(len(tail) AS INT) AS tail, CAST(CASE WHEN len(list_filter(tail, lambda o: {_CMD} NOT IN ('q', 'Q', 'cm', 'w', 'J', 'j', 'M', 'd', 'i', 'ri', 'gs', 'g', 'G', 'rg', 'RG', 'm', 'l', 'c', 'v', 'y', 'h', 're', 'S', 's', 'f', 'F', 'f*', 'B', 'B*', 'b', 'b*', 'n', 'W', 'W*'))) = 0 AND len(list_filter(tail, lambda o: {_CMD} IN ('m', 'l', 'c', 'v', 'y', 'h', 're', 'S', 's', 'f', 'F', 'f*', 'B', 'B*', 'b', 'b*', 'n', 'W', 'W*'))) > 0 THEN len(tail) ELSE 0 END AS INT) AS removable FROM t""")
 def watermark_trailing(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(W.trailing_ops(_ops())).alias("tail"), W.trailing_count(_ops()).alias("removable"))
 
@@ -422,13 +420,13 @@ def _values(rows: list[tuple], names: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows) + f") v({names})"
 
 
-_PAIRS = [(R.mime(a), R.mime(b)) for a, b in R.COMMERCIAL + R.OFFICE]
-_TYPES = _values([(R.mime(x),) for x in R.REPORT_TYPES], "source")
-_TARGETS = _values([(R.mime(x),) for x in R.REPORT_TARGETS], "target")
+_PAIRS = [(a, b) for a, b, _ in E.commercial()] + E.pairs(E.OFFICE)
+_TYPES = _values([(E.MIME[x],) for x in E.REPORT_TYPES.split()], "source")
+_TARGETS = _values([(E.MIME[x],) for x in E.REPORT_TARGETS.split()], "target")
 _DIRECT = f"SELECT source, target FROM {_values(_PAIRS, 'source, target')}"
-_ROUTES = f"{_DIRECT} UNION SELECT source, target FROM {_values([(m,) for m in sorted({*M.SHORT.values()})], 'source')}, (VALUES ('text/plain'), ('application/xml')) w(target) UNION SELECT '{R.mime('xlsx')}', '{R.mime('ods')}'"
+_ROUTES = f"{_DIRECT} UNION SELECT source, target FROM {_values([(m,) for m in E.all_types()], 'source')}, (VALUES ('text/plain'), ('application/xml')) w(target) UNION SELECT '{E.MIME['xlsx']}', '{E.MIME['ods']}'"
 _MATRIX = f"SELECT a.source, b.target FROM (SELECT * FROM {_TYPES}) a, (SELECT * FROM {_TARGETS}) b WHERE a.source <> b.target AND EXISTS (SELECT 1 FROM ({_ROUTES}) r WHERE r.source = a.source AND r.target = b.target)"
-_SPLITTABLE = _values([(R.mime(s),) for s in sorted({s for b in R._SPLITS.values() for s in b.split()})], "source")
+_SPLITTABLE = _values([(E.MIME[s],) for s in sorted({s for b in E.SPLITS.values() for s in b.split()})], "source")
 
 
 @query(_MATRIX)
@@ -441,7 +439,7 @@ def capability_types(spark, d):
     return R.capability_types(spark)
 
 
-_SERVER = _values([(R.mime(x),) for x in R.SERVER_TARGETS], "target")
+_SERVER = _values([(E.MIME[x],) for x in E.SERVER_TARGETS.split()], "target")
 
 
 @query(f"""WITH p AS (SELECT page_id, {_cases("lower(regexp_extract(url, '\\.([^.]+)$', 1))", M.BY_EXTENSION, f"'{M.OCTET}'")} AS mime FROM pages),
@@ -452,7 +450,7 @@ def available_targets(spark, d):
     return R.available_targets(pages, spark, R.SERVER_TARGETS).select("page_id", "mime", "targets")
 
 
-@query("SELECT source, target, array_to_string(products, ',') AS products FROM (VALUES " + ", ".join(f"('{R.mime(a)}', '{R.mime(b)}', ['{chr(39).join(R.products_for(a, b)).replace(chr(39), chr(39) + ',' + chr(39))}'])" for a, b in R.COMMERCIAL) + ") v(source, target, products) WHERE list_has_all(['words', 'cells'], products)")
+@query("SELECT source, target, array_to_string(products, ',') AS products FROM (VALUES " + ", ".join(f"('{a}', '{b}', {p})" for a, b, p in E.commercial()) + ") v(source, target, products) WHERE list_has_all(['words', 'cells'], products)")
 def licensed_routes(spark, d):
     return R.licensed(R.routes(spark, ("commercial",)), ["words", "cells"]).select("source", "target", F.array_join("products", ",").alias("products"))
 
@@ -464,8 +462,8 @@ def two_hop_paths(spark, d):
 
 _DOCTYPES = ["txt", "html", "docx", "xlsx", "pdf", "7z"]
 _DOCTARGETS = ["pdf", "txt", "ods", "xml"]
-_RANKED = f"SELECT 0 AS rank, 'commercial' AS backend, source, target FROM {_values([(R.mime(a), R.mime(b)) for a, b in R.COMMERCIAL], 'source, target')} UNION ALL SELECT 1, 'office', source, target FROM {_values([(R.mime(a), R.mime(b)) for a, b in R.OFFICE], 'source, target')} UNION ALL SELECT 2, 'core', source, target FROM ({_ROUTES.partition(' UNION ')[2]})"
-_LIST = lambda shorts: "[" + ", ".join(f"'{R.mime(s)}'" for s in shorts) + "]"
+_RANKED = f"SELECT 0 AS rank, 'commercial' AS backend, source, target FROM {_values([(a, b) for a, b, _ in E.commercial()], 'source, target')} UNION ALL SELECT 1, 'office', source, target FROM {_values(E.pairs(E.OFFICE), 'source, target')} UNION ALL SELECT 2, 'core', source, target FROM ({_ROUTES.partition(' UNION ')[2]})"
+_LIST = lambda shorts: "[" + ", ".join(f"'{E.MIME[s]}'" for s in shorts) + "]"
 
 
 @query(f"""WITH d AS (SELECT doc_id, {_LIST(_DOCTYPES)}[1 + doc_id % 6] AS mime, {_LIST(_DOCTARGETS)}[1 + doc_id // 6 % 4] AS target FROM documents),
@@ -566,12 +564,68 @@ def fit_dimensions(spark, d):
     return table(spark, d, "part").select("p_partkey", fit.alias("f")).select("p_partkey", "f.width", "f.height")
 
 
-@query("""SELECT CASE WHEN text = '' THEN 'empty' WHEN length(text) % 7 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN text <> '' AND length(text) % 7 = 0 THEN 'Split' END AS error_type, count(*) AS documents FROM documents GROUP BY ALL""")
+@query(f"""SELECT CASE WHEN conv_id % 3 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN conv_id % 3 = 0 THEN 'Split' END AS error_type, count(DISTINCT conv_id) AS documents, CAST(count(*) FILTER (conv_id % 3 <> 0) AS BIGINT) AS fragments
+FROM conversations GROUP BY ALL""")
 def split_status_report(spark, d):
-    n = F.length("text")
-    fault = F.when((n > 0) & (n % 7 == 0), errors.error("Split", F.lit("simulated")))
-    rows = table(spark, d, "documents").select(F.when(n == 0, "empty").when(fault.isNotNull(), "failed").otherwise("ok").alias("status"), fault["type"].alias("error_type"))
-    return rows.groupBy("status", "error_type").agg(F.count("*").alias("documents"))
+    """Archives of a conversation's turns, of which each third is cut short before it is split."""
+    packed = _turn_archives(spark, d)
+    found = archive.split_archives(packed.withColumn("content", F.when(F.col("conv_id") % 3 == 0, F.expr("substring(content, 1, 40)")).otherwise(F.col("content"))))
+    status = F.when(F.col("error").isNull(), "ok").otherwise("failed")
+    return found.groupBy(status.alias("status"), F.col("error.type").alias("error_type")).agg(F.count_distinct("conv_id").alias("documents"), F.count(F.when(F.col("error").isNull(), 1)).alias("fragments"))
+
+
+def _turn_archives(spark, d) -> DataFrame:
+    turns = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("index"), F.concat(F.col("turn").cast("string"), F.lit(".txt")).alias("filename"), F.encode("text", "UTF-8").alias("content"))
+    return archive.zip_fragments(turns, ["conv_id"]).select("conv_id", "content")
+
+
+@query(f"""SELECT conv_id, n * 2.0 AS doubled, CAST(n AS DOUBLE) * n AS square, CASE WHEN n > 6 THEN 'long' ELSE 'short' END AS kind, CAST(above AS DOUBLE) AS above, CAST(longest AS DOUBLE) AS longest, first || '/' || n AS joined
+FROM (SELECT conv_id, count(*) AS n, sum(length(text)) FILTER (length(text) > 100) AS above_sum, coalesce(sum(length(text)) FILTER (length(text) > 100), 0) AS above, max(length(text)) AS longest, upper(left(arg_min(text, turn), 3)) AS first FROM conversations GROUP BY conv_id)""")
+def xlsx_formulas(spark, d):
+    """Formulas without cached values over another sheet and over each other, worked out when the sheets are split."""
+
+    def build(texts: list[str]) -> bytes:
+        data = B.Sheet("Turn lengths", {(i, 0): B.Cell("number", str(len(t))) for i, t in enumerate(texts)} | {(0, 1): B.Cell("string", texts[0][:3])})
+        n = len(texts)
+        of = f"'Turn lengths'!$A$1:A{n}"
+        formulas = [f"COUNT({of})*2", "A1/2*(A1/2)", 'IF(A1/2>6,"long","short")', f'SUMIF({of},">100")', f"MAX({of})", "UPPER('Turn lengths'!B1)&\"/\"&A1/2"]
+        return B.write_xlsx([data, B.Sheet("Out", {(0, k): B.Cell("number" if k not in (2, 5) else "string", "", f) for k, f in enumerate(formulas)})])
+
+    out = B.read_cells(B.split_workbooks(_built(spark, d, build), ("Out",)).select("conv_id", "content"))
+    value = lambda c: F.max(F.when(F.col("col") == c, F.col("value")))
+    return out.groupBy("conv_id").agg(
+        value(0).cast("double").alias("doubled"), value(1).cast("double").alias("square"), value(2).alias("kind"), value(3).cast("double").alias("above"), value(4).cast("double").alias("longest"), value(5).alias("joined")
+    )
+
+
+@query("""SELECT conv_id, CAST(conv_id % 5 AS INT) AS variant, CASE WHEN conv_id % 5 = 0 THEN 1 ELSE 10 END AS left_over FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def pdf_watermark_guards(spark, d):
+    """A marked trailing block goes (0) only after text (1), without drawing outside it (2), another marker (3) or an open one (4)."""
+    mark = b"/Artifact << /Subtype /Watermark >> BDC\nq\n10 10 m\n90 90 l\nS\nQ\nEMC\n"
+    text = b"BT\n/F1 12 Tf\n(x) Tj\nET\n"
+    pages = [text + mark, mark, text + b"1 1 m\n2 2 l\nS\n" + mark, text + b"/Span BMC\nEMC\n" + mark, text + b"/Watermark BMC\n" + mark]
+    docs = table(spark, d, "conversations").select("conv_id").distinct().select("conv_id", (F.col("conv_id") % 5).cast("int").alias("variant"), F.encode(F.col("conv_id").cast("string"), "UTF-8").alias("content"))
+    built = B.convert_documents(docs, lambda c: pdf.write_pdf([pages[int(c) % 5]])).select("conv_id", "variant", F.col("result").alias("content"))
+    cleaned = pdf.convert_pdfs(built, "clean").select("conv_id", "variant", F.col("result").alias("content"))
+
+    def marks(c: bytes) -> str:
+        p = pdf.Pdf(c)
+        return str(1 + 9 * any(b"/Watermark" in t for t, _ in pdf.operators(p.contents(p.pages()[0]))))
+
+    return B.convert_documents(cleaned, marks).select("conv_id", "variant", F.col("result").cast("string").cast("int").alias("left_over"))
+
+
+@query("""SELECT request_id, 200 AS status, '<html><body>' || string_agg('<h2>' || s || '</h2><table><tr><td>' || request_id || '</td></tr></table>', '' ORDER BY s) || '</body></html>' AS body
+FROM (SELECT DISTINCT conv_id AS request_id FROM conversations), (VALUES ('A'), ('B'), ('C')) v(s) WHERE CASE request_id % 3 WHEN 0 THEN true WHEN 1 THEN s = 'B' ELSE s IN ('A', 'C') END GROUP BY request_id""")
+def http_sheet_option(spark, d):
+    """Workbooks of three sheets asked for as HTML, whole or by names of sheets."""
+    from docloom.plans.requests import convert_requests
+
+    ids = table(spark, d, "conversations").select("conv_id").distinct().select(F.col("conv_id").alias("request_id"), F.encode(F.col("conv_id").cast("string"), "UTF-8").alias("content"))
+    built = B.convert_documents(ids, lambda c: B.write_xlsx([B.Sheet(n, {(0, 0): B.Cell("string", c.decode())}) for n in "ABC"]))
+    null = F.lit(None).cast("string")
+    asked = built.select("request_id", F.col("result").alias("body"), F.lit(E.MIME["xlsx"]).alias("content_type"), F.lit("html").alias("target"), null.alias("backend"), null.alias("detect"), F.when(F.col("request_id") % 3 == 1, "B").when(F.col("request_id") % 3 == 2, "A, C").alias("sheet"))
+    return convert_requests(spark, asked).select("request_id", "status", T.decode_utf8(F.col("body")).alias("body"))
 
 
 @query("SELECT page_id, CAST(NULL AS VARCHAR) AS error_type, CAST(octet_length(encode(html)) AS BIGINT) AS size FROM pages")

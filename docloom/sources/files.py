@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docloom.functions.mime import detect_lazily
@@ -37,20 +38,56 @@ def write_files(df: DataFrame, folder: str, name: str = "filename", content: str
     if "://" in local:
         raise ValueError("a mounted folder is needed; other stores take tables (write.parquet)")
 
-    def write(rows):
-        for r in rows:
-            at = os.path.normpath(os.path.join(local, r[0]))
-            if not at.startswith(local + "/"):
-                raise ValueError(f"{r[0]} leaves the folder")
-            os.makedirs(os.path.dirname(at), exist_ok=True)
-            tmp = f"{at}.{uuid.uuid4().hex}.tmp"
+    def put(path: str, data: bytes) -> None:
+        at = os.path.normpath(os.path.join(local, path))
+        if not at.startswith(local + "/"):
+            raise ValueError(f"{path} leaves the folder")
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        tmp = f"{at}.{uuid.uuid4().hex}.tmp"
+        try:
             with open(tmp, "wb") as f:
-                f.write(r[1])
+                f.write(data)
             os.replace(tmp, at)
+        finally:
+            if os.path.exists(tmp):
+                os.remove(tmp)
 
-    rows = df.select(name, content).where(f"`{content}` IS NOT NULL")
-    rows.foreachPartition(write)
-    return rows.count()
+    def write(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):  # a file's bytes are a Python object one at a time
+                put(batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    # counted in the pass that writes
+    return df.select(name, content).where(f"`{content}` IS NOT NULL").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Rows from JSON lines, or from whole files that each hold an object or an array of objects."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.option("multiLine", True).json(path) if path.endswith(".json") else reader.json(path)
+
+
+def write_json(df: DataFrame, folder: str) -> None:
+    """Rows as JSON lines, null fields included."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(folder)
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any store that Spark reads."""
+    store, at = _path(spark, path)
+    return store.exists(at)
+
+
+def delete(spark: SparkSession, path: str, recursive: bool = False) -> bool:
+    """Removes a file or, if asked for, a folder with what it holds; false if there was none."""
+    store, at = _path(spark, path)
+    return store.delete(at, recursive)
 
 
 def responses(df: DataFrame, content: str = "content", mime: str = "mime") -> DataFrame:

@@ -25,17 +25,26 @@ def drain(stream: DataFrame, target: str, checkpoint: str) -> None:
 
 
 def process_chunks(stream: DataFrame, start: Callable[[], bytes], step: Callable[[bytes, bytes], bytes], finish: Callable[[bytes], bytes]) -> DataFrame:
-    """stream(key, chunk, last) to (key, result): a state for each key, stepped by its chunks, finished by its last one."""
+    """stream(key, seq, chunk, last) to (key, result): a state for each key, stepped by its chunks in the order of seq, finished by a last one.
+
+    What follows a last chunk begins anew, so a key has a result for each. Chunks of a key that come in one batch are put in order; those of a later
+    batch come after them. A null chunk is empty.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else start()
-        for frame in frames:
-            for chunk, last in zip(frame["chunk"], frame["last"]):
-                held = step(held, chunk)
-                if last:
-                    state.remove()
-                    yield pd.DataFrame({"key": [key[0]], "result": [finish(held)]})
-                    return
-        state.update((held,))
+        rows = sorted((r for f in frames for r in zip(f["seq"], f["chunk"], f["last"])), key=lambda r: r[0])
+        held = state.get[0] if state.exists else None
+        done = []
+        for _, chunk, last in rows:
+            held = step(start() if held is None else held, chunk or b"")
+            if last:
+                done.append(finish(held))
+                held = None
+        if held is not None:
+            state.update((held,))
+        elif state.exists:
+            state.remove()
+        if done:
+            yield pd.DataFrame({"key": [key[0]] * len(done), "result": done})
 
     return stream.groupBy("key").applyInPandasWithState(run, "key string, result binary", "held binary", "append", GroupStateTimeout.NoTimeout)

@@ -37,7 +37,7 @@ class SplitBytes:
 
     def eval(self, content: bytes, source: str):
         if content is not None:
-            found = first_success([splitter(b, _short(source)) for b in ("core",)])(bytes(content))
+            found = first_success([splitter(b, _short(source)) for b in BACKENDS])(bytes(content))
             for data, mime, index, label in found:
                 yield data, mime, index, label or f"part-{index + 1}", len(found)
 

@@ -91,11 +91,13 @@ def test_streams(spark, tmp_path):
     for want in (2, 2):
         drain(stream_documents(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
         assert spark.read.parquet(str(tmp_path / "out")).count() == want
-    chunks = spark.createDataFrame([("k", b"a", False), ("k", b"b", True), ("open", b"c", False)], "key string, chunk binary, last boolean")
+    # out of order, three results of one key, and a key that isn't finished
+    rows = [("k", 2, b"b", True), ("k", 1, b"a", False), ("k", 4, b"d", True), ("k", 3, b"c", False), ("k", 5, None, True), ("open", 1, b"c", False)]
+    chunks = spark.createDataFrame(rows, "key string, seq long, chunk binary, last boolean")
     chunks.coalesce(1).write.parquet(str(tmp_path / "chunks"))
     stream = spark.readStream.schema(chunks.schema).parquet(str(tmp_path / "chunks"))
     drain(process_chunks(stream, lambda: b"", lambda s, c: s + c, lambda s: s + b"!"), str(tmp_path / "done"), str(tmp_path / "cp2"))
-    assert [(r.key, bytes(r.result)) for r in spark.read.parquet(str(tmp_path / "done")).collect()] == [("k", b"ab!")]
+    assert [(r.key, bytes(r.result)) for r in spark.read.parquet(str(tmp_path / "done")).collect()] == [("k", b"ab!"), ("k", b"cd!"), ("k", b"!")]
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -133,3 +135,83 @@ def test_queries_equal_sql(spark, duck, tmp_path, name):
     differ = f"SELECT count(*) FROM (({want}) EXCEPT ALL ({got}) UNION ALL (({got}) EXCEPT ALL ({want})))"
     assert duck.execute(differ).fetchall() == [(0,)]
     assert duck.execute(f"SELECT count(*) FROM ({want})").fetchall() == duck.execute(f"SELECT count(*) FROM ({got})").fetchall()
+
+
+def test_json_files_and_the_store(spark, tmp_path):
+    from docloom.sources.files import delete, exists, read_json, write_json
+
+    df = spark.createDataFrame([(1, "a", None), (2, None, [1])], "id long, name string, xs array<long>")
+    write_json(df, str(tmp_path / "rows"))
+    assert sorted(map(tuple, read_json(spark, str(tmp_path / "rows"), "id long, name string, xs array<long>").collect())) == [(1, "a", None), (2, None, [1])]
+    (tmp_path / "one.json").write_text('[{"id": 1},\n {"id": 2}]')
+    assert read_json(spark, str(tmp_path / "one.json")).count() == 2
+    assert exists(spark, str(tmp_path / "rows")) and delete(spark, str(tmp_path / "rows"), True) and not exists(spark, str(tmp_path / "rows"))
+    assert not delete(spark, str(tmp_path / "rows"))
+
+
+def test_licences_choose_the_backend(spark):
+    from docloom.operators import convert as C
+
+    docs = spark.createDataFrame([(1, bytearray(b"a\n\nb"))], "id long, content binary")
+    assert C.convert(docs, "docx", "pdf", products=[]).first().error.type == "Resource"
+    assert len(C.converters("xlsx", "csv", products=["words"])) == 2
+    assert len(C.converters("xlsx", "csv", products=["cells"])) == 3 == len(C.converters("xlsx", "csv"))
+    assert len(C.splitters("pdf", products=["cells"])) == 2 and len(C.splitters("pdf", products=["pdf"])) == 3
+    # without the licence, core takes sections of a text document as a whole
+    assert C.split(docs, "plain", products=[]).count() == 2
+
+
+def test_an_office_process_takes_what_has_no_reader(monkeypatch, tmp_path):
+    """A stand-in for the process, that copies its input and notes its arguments."""
+    from docloom.functions.options import ConvertOptions
+    from docloom.operators import convert as C, workbook as B
+
+    made = B.write_xlsx([B.Sheet("A", {(0, 0): B.Cell("string", "x")}), B.Sheet("B", {(0, 0): B.Cell("string", "y")})])
+    (tmp_path / "made.xlsx").write_bytes(made)
+    script = tmp_path / "office"
+    script.write_text(f"""#!/bin/sh
+echo "$@" >> {tmp_path}/log
+while [ $# -gt 1 ]; do case $1 in --convert-to) to=$2;; --outdir) out=$2;; esac; shift; done
+case $to in xlsx) cp {tmp_path}/made.xlsx $out/in.$to;; bad) exit 1;; *) cp $1 $out/in.$to;; esac
+""")
+    script.chmod(0o755)
+    monkeypatch.setattr(C, "office_path", lambda: str(script))
+    one = lambda a, b, o=ConvertOptions(): C.first_success(C.converters(a, b, options=o))
+    for a, b in C.OFFICE_TOO:
+        if (a, b) not in (("doc", "markdown"), ("eml", "pdf")):
+            assert one(a, b)(b"body") == b"body", (a, b)
+    assert b"<" in one("eml", "pdf")(b"Subject: s\r\n\r\ntext")
+    assert [f[3] for f in C.first_success(C.splitters("xls"))(b"old")] == ["A", "B"]
+    assert C.any_text(b"old", "xls") == "A\n\tx\nB\n\ty"
+    log = (tmp_path / "log").read_text()
+    assert "--infilter=writer_pdf_import" in log and len({w for w in log.split() if "UserInstallation" in w}) == 1
+    setup = one("xlsx", "pdf", ConvertOptions(landscape=True, paper_size="A3", one_sheet_per_page=True, sheet_names=("B",)))(made)
+    import io
+    import zipfile
+
+    with zipfile.ZipFile(io.BytesIO(setup)) as z:
+        sheet, book = z.read("xl/worksheets/sheet1.xml").decode(), z.read("xl/workbook.xml").decode()
+    assert '<pageSetup paperSize="8" orientation="landscape" fitToWidth="1" fitToHeight="1"/></worksheet>' in sheet and '<sheetPr><pageSetUpPr fitToPage="1"/></sheetPr><sheetData>' in sheet
+    assert 'state="hidden" name="A"' in book and 'state="hidden" name="B"' not in book
+    assert [s.hidden for s in B.read_workbook(setup)] == [True, False]
+
+
+def test_requests_with_options(spark):
+    from docloom.operators import workbook as B
+    from docloom.plans.requests import convert_requests, info_requests, split_requests
+
+    made = B.write_xlsx([B.Sheet(n, {(0, 0): B.Cell("string", n)}, n == "C") for n in "ABC"])
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"
+    rows = [(1, made, kind, "csv", "B", None, None), (2, made, kind, "csv", None, "secret", None), (3, made, kind, "csv", None, None, None)]
+    asked = spark.createDataFrame(rows, "request_id long, body binary, content_type string, target string, sheet string, password string, exclude_hidden string").selectExpr("*", "CAST(NULL AS STRING) AS backend", "CAST(NULL AS STRING) AS detect")
+    got = {r.request_id: (r.status, bytes(r.body)) for r in convert_requests(spark, asked).collect()}
+    assert got[1] == (200, b"B") and got[2][0] == 503 and got[3] == (200, b"A")
+    import io
+    import zipfile
+
+    parts = split_requests(spark, asked.where("request_id = 3").withColumns({"sheet": F.lit("A,C"), "exclude_hidden": F.lit("true")})).first()
+    assert zipfile.ZipFile(io.BytesIO(parts.body)).namelist() == ["1__A.xlsx"]
+    import json
+
+    found = {r.request_id: json.loads(r.json) for r in info_requests(spark, asked.unionByName(asked.limit(1).withColumns({"request_id": F.lit(9).cast("long"), "body": F.lit(b"%PDF-junk").cast("binary"), "content_type": F.lit("application/pdf")}))).collect()}
+    assert found[3]["fragmentCount"] == 3 and found[3]["size"] == len(made) and "metadata" not in found[9] and "fragmentCount" not in found[9] and found[9]["canSplit"]
