@@ -19,6 +19,7 @@ is only matched exactly and as whole words; repeated rows are matched each; othe
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -189,6 +190,17 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
         yield block
 
 
+#: The matcher that a worker built last, by its block; the next tasks of that block take it again.
+_MATCHER: dict[str, Matcher] = {}
+
+
+def _matcher(key: str, block: list[tuple[int | None, str]]) -> Matcher:
+    if key not in _MATCHER:
+        _MATCHER.clear()
+        _MATCHER[key] = Matcher(block)
+    return _MATCHER[key]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, distance, end_char of every benchmark item found in a document; a narrow pass for each block of items."""
     context = docs.sparkSession.sparkContext
@@ -199,8 +211,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for block in item_blocks(benchmark):
         shipped = context.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shipped.value)
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(key, shipped.value)
             for batch in slices(batches):
                 rows = [(doc, *m) for doc, text in zip(*(c.to_pylist() for c in batch.columns)) for m in matcher.match(text)]
                 cols = list(zip(*rows)) or [(), (), (), ()]
@@ -222,8 +234,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for block in item_blocks(benchmark):
         shipped = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shipped.value)
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(key, shipped.value)
             at = names.index("text")
             for batch in slices(batches):
                 yield batch.filter(pa.array([not matcher.match(t) for t in batch.column(at).to_pylist()], pa.bool_()))

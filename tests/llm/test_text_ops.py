@@ -7,7 +7,7 @@ from importlib import resources
 
 import pytest
 
-from docloom.llm import licenses, quality_lines, toxicity
+from docloom.llm import decontam, licenses, quality_lines, toxicity
 from docloom.llm.decontam import Matcher, budget, decontaminate, find_leaks, normalise
 from docloom.llm.licenses import NOTICES, PHRASES, Automaton, scan_licenses, scan_text, templates
 from docloom.llm.quality_lines import base_features, clean_documents, judge_documents
@@ -262,7 +262,10 @@ def test_every_passage_within_the_budget_is_found():
         assert (i in found) == (d <= budget(len(t))) and found.get(i, d) == d
 
 
-def test_leaks_of_odd_rows(spark):
+@pytest.mark.parametrize("block_chars", [None, 150])
+def test_leaks_of_odd_rows(spark, monkeypatch, block_chars):
+    if block_chars:  # several blocks of items
+        monkeypatch.setattr(decontam, "BLOCK_CHARS", block_chars)
     docs = odd_documents(spark)
     texts = rows(docs.select("doc_id", "text"))
     long = [t for _, t in texts[:30] if len(t.split()) > 50]
