@@ -221,10 +221,13 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _verify_ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, set of b, set of a) to the pairs that link."""
+    """(a, b, text of b, set of a) to the pairs that link."""
+    hashes = _WordHashes()
     for batch in slices(batches):
-        sets = [[np.frombuffer(x, _U) for x in batch.column(k).to_pylist()] for k in (2, 3)]
-        linked = [9 * len(y) >= 4 * len(x) and 9 * len(x) >= 4 * len(y) and similar(x, y) for x, y in zip(*sets)]
+        linked = []
+        for text, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            x, y = shingles(text, hashes), np.frombuffer(other, _U)
+            linked.append(10 * len(y) >= 8 * len(x) and 10 * len(x) >= 8 * len(y) and similar(x, y))
         yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
 
@@ -281,8 +284,9 @@ def link_components(docs: DataFrame) -> DataFrame:
     # 3: the smallest partner of each document
     pairs = cut(ties.groupBy("b").agg(F.min("a").alias("a")))
     leaders = cut(single.join(key_side(cut(pairs.select(F.col("a").alias("doc_id")).distinct())), "doc_id").select(F.col("doc_id").alias("a"), "text").mapInArrow(_emit_sets, "a long, s binary")).withColumnRenamed("s", "sa")
-    others = single.join(key_side(pairs.withColumnRenamed("b", "doc_id")), "doc_id").select("a", F.col("doc_id").alias("b"), "text").mapInArrow(_emit_sets, "a long, b long, s binary")
-    both = join_blobs(others, leaders, "a", "sa", pairs.select("a")).select("a", "b", "s", "sa")
+    # texts, not sets, meet the leaders' sets: one Python worker for each task
+    others = single.join(key_side(pairs.withColumnRenamed("b", "doc_id")), "doc_id").select("a", F.col("doc_id").alias("b"), "text")
+    both = join_blobs(others, leaders, "a", "sa", pairs.select("a")).select("a", "b", "text", "sa")
     forest = _trees(both.mapInArrow(_verify_ties, "a long, b long").select(F.col("b").alias("node"), F.col("a").alias("up")))
     root = key_side(forest)
 
