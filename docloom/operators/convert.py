@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from docloom.functions.mime import SHORT
 from docloom.functions.options import ConvertOptions
-from docloom.operators import archive, mail, pdf, slides, text_split, watermark, word, workbook  # noqa: F401
+from docloom.operators import archive, mail, outlook, pdf, sevenzip, slides, text_split, watermark, word, workbook  # noqa: F401
 from docloom.operators.base import ConversionError, Fragment, convert_documents, split_documents
 from docloom.plans.registry import _SPLITS, BACKENDS, COMMERCIAL, OFFICE, product_for_split, products_for
 
@@ -39,6 +39,7 @@ pdf: png jpeg docx doc
 doc: plain markdown
 docx: rtf
 eml: pdf
+msg: pdf
 """.strip().splitlines() for a, _, rest in [line.partition(":")] for b in rest.split()]
 #: Types without a reader here, and what an office process makes of them to be read.
 MODERN = {"xls": "xlsx", "xlsb": "xlsx", "doc": "docx", "ppt": "pptx"}
@@ -72,12 +73,12 @@ def any_text(content: bytes, source: str) -> str:
     """The text of any document; empty input is a parse error, a container its entries' texts."""
     if not content:
         raise ConversionError("Parse", "empty input")
-    how = {"xlsx": workbook.to_text, "xlsm": workbook.to_text, "ods": workbook.to_text, "docx": word.to_text, "docm": word.to_text, "odt": word.to_text, "pptx": slides.to_text, "pptm": slides.to_text, "pdf": pdf.to_text, "eml": mail.mail_to_text, "html": html_text}
+    how = {"xlsx": workbook.to_text, "xlsm": workbook.to_text, "ods": workbook.to_text, "docx": word.to_text, "docm": word.to_text, "odt": word.to_text, "pptx": slides.to_text, "pptm": slides.to_text, "pdf": pdf.to_text, "eml": mail.mail_to_text, "msg": outlook.to_text, "html": html_text}
     if source in how:
         return how[source](content)
-    if source == "zip":
+    if source in ("zip", "7z"):
         parts = []
-        for data, mime, _, name in archive.split_zip(content):
+        for data, mime, _, name in archive.split_zip(content) if source == "zip" else sevenzip.split_7z(content, "core"):
             if isinstance(data, Exception):
                 raise data
             inner = _SHORT_OF.get(mime, "bin")
@@ -85,8 +86,6 @@ def any_text(content: bytes, source: str) -> str:
         return "\n".join(parts)
     if source in MODERN:
         return how[MODERN[source]](office_convert(content, source, MODERN[source]))
-    if source in ("msg", "7z"):
-        raise ConversionError("Resource", f"no reader for {source}")
     return content.decode("utf-8", "replace")
 
 
@@ -147,8 +146,9 @@ def office_convert(content: bytes, source: str, target: str, options: ConvertOpt
 
 def _office(source: str, target: str, o: ConvertOptions) -> Callable[[bytes], bytes | str]:
     """The office process's way of a route; two steps where it has no direct one."""
-    if (source, target) == ("eml", "pdf"):
-        return lambda c: office_convert(mail.mail_to_html(c).encode(), "html", "pdf", o)
+    if source in ("eml", "msg") and target == "pdf":
+        page = mail.mail_to_html if source == "eml" else outlook.to_html
+        return lambda c: office_convert(page(c).encode(), "html", "pdf", o)
     if (source, target) == ("doc", "markdown"):
         return lambda c: word.to_markdown(office_convert(c, "doc", "docx"))
     return lambda c: office_convert(c, source, target, o)
@@ -191,7 +191,8 @@ def _own(source: str, target: str, o: ConvertOptions) -> Callable[[bytes], bytes
         ("docx", "html"): word.to_html, ("docm", "html"): word.to_html, ("odt", "html"): word.to_html, ("docx", "plain"): word.to_text, ("docx", "markdown"): word.to_markdown,
         ("docm", "docx"): word.drop_macros, ("xlsm", "xlsx"): word.drop_macros, ("pptm", "pptx"): word.drop_macros, ("pptx", "html"): slides.to_html,
         ("xlsx", "ods"): workbook.xlsx_to_ods, ("ods", "xlsx"): workbook.ods_to_xlsx, ("pdf", "html"): pdf.to_html, ("png", "pdf"): pdf.from_image, ("jpeg", "pdf"): pdf.from_image,
-        ("eml", "html"): mail.mail_to_html, ("csv", "xlsx"): lambda c: workbook.from_csv(c, "xlsx"), ("csv", "ods"): lambda c: workbook.from_csv(c, "ods"), ("csv", "html"): _csv_html,
+        ("eml", "html"): mail.mail_to_html, ("eml", "msg"): outlook.from_mail, ("msg", "html"): outlook.to_html, ("msg", "eml"): outlook.to_mail,
+        ("csv", "xlsx"): lambda c: workbook.from_csv(c, "xlsx"), ("csv", "ods"): lambda c: workbook.from_csv(c, "ods"), ("csv", "html"): _csv_html,
     }
     return table.get((source, target))
 
@@ -280,6 +281,7 @@ def splitter(backend: str, source: str, options: ConvertOptions = ConvertOptions
         "xlsx": lambda c: workbook.split_workbook(c, o.sheet_names, o.exclude_hidden, o.evaluate_formulas) if full else workbook.split_workbook(c),
         "pptx": lambda c: slides.split_slides(c, not full), "docx": word.split_sections if full else word.split_whole, "pdf": pdf.split_pages,
         "zip": lambda c: archive.split_zip(c, "full" if full else "core"), "eml": lambda c: mail.split_mail(c, not full),
+        "msg": lambda c: outlook.split_message(c, not full), "7z": sevenzip.split_7z,
         "plain": lambda c: _paragraphs(c), "csv": lambda c: _rows(c),
     }
     table["xlsm"] = table["ods"] = table["xlsx"]

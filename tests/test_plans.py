@@ -164,7 +164,7 @@ def test_licences_choose_the_backend(spark):
 def test_an_office_process_takes_what_has_no_reader(monkeypatch, tmp_path):
     """A stand-in for the process, that copies its input and notes its arguments."""
     from docloom.functions.options import ConvertOptions
-    from docloom.operators import convert as C, workbook as B
+    from docloom.operators import convert as C, outlook, workbook as B
 
     made = B.write_xlsx([B.Sheet("A", {(0, 0): B.Cell("string", "x")}), B.Sheet("B", {(0, 0): B.Cell("string", "y")})])
     (tmp_path / "made.xlsx").write_bytes(made)
@@ -178,9 +178,10 @@ case $to in xlsx) cp {tmp_path}/made.xlsx $out/in.$to;; bad) exit 1;; *) cp $1 $
     monkeypatch.setattr(C, "office_path", lambda: str(script))
     one = lambda a, b, o=ConvertOptions(): C.first_success(C.converters(a, b, options=o))
     for a, b in C.OFFICE_TOO:
-        if (a, b) not in (("doc", "markdown"), ("eml", "pdf")):
+        if (a, b) not in (("doc", "markdown"), ("eml", "pdf"), ("msg", "pdf")):
             assert one(a, b)(b"body") == b"body", (a, b)
     assert b"<" in one("eml", "pdf")(b"Subject: s\r\n\r\ntext")
+    assert b"<pre>text" in one("msg", "pdf")(outlook.from_mail(b"Subject: s\r\n\r\ntext"))
     assert [f[3] for f in C.first_success(C.splitters("xls"))(b"old")] == ["A", "B"]
     assert C.any_text(b"old", "xls") == "A\n\tx\nB\n\ty"
     log = (tmp_path / "log").read_text()
