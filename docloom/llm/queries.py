@@ -80,7 +80,32 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_template, op2_toxicity, op3_token_counts, op4_decontamination, op5_warc, op6_quality_lines, op7_bestfit, op8_line_dedup, op9_licenses, op10_parity_join)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.prefix_trie import rebuilt_trie
+
+    return rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.fim import digests, fill_in_middle
+
+    return digests(fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.langid import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(docs))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_template, op2_toxicity, op3_token_counts, op4_decontamination, op5_warc, op6_quality_lines, op7_bestfit, op8_line_dedup, op9_licenses, op10_parity_join,
+        op11_prefix_trie, op12_fill_in_middle, op13_language_id,
+    )
+}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -134,4 +159,28 @@ ORACLE = {
         r AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS newest FROM q)
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN newest = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN newest <> page_id THEN newest END AS refers_to FROM r""",
+    "op11_prefix_trie": """
+        WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || x)) AS n FROM t),
+        bits AS (SELECT DISTINCT c, flatten(list_transform(range(1, length(c::VARCHAR) + 1), lambda i: [256 + ascii(substr(c::VARCHAR, i, 1)), 0, 0, 0, 0, 0, 0, 0, 0])) AS b FROM t),
+        crc AS (SELECT c, xor(4294967295, list_reduce(list_prepend(4294967295, b::BIGINT[]), lambda a, y: CASE WHEN y > 0 THEN xor(a, y - 256) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS k FROM bits),
+        ids AS (SELECT c, k % 9 AS h FROM crc),
+        re AS (SELECT ids.c, 0 AS part, n, r, x FROM ids JOIN o ON o.c = ids.c - ids.c % 5 AND n <= h UNION ALL SELECT c, 1, n, r, x FROM o JOIN ids USING (c) WHERE n > h),
+        full_ AS (SELECT ids.c, count(n) AS len, coalesce(list({'r': r, 'x': x} ORDER BY part, n) FILTER (n IS NOT NULL), []) AS l FROM ids LEFT JOIN re ON re.c = ids.c GROUP BY ids.c),
+        m AS (SELECT c, len, d, l[1:d] AS p, CASE WHEN d > 0 THEN l[1:d - 1] END AS up FROM full_, unnest(range(0, len + 1)) AS u(d)),
+        node AS (SELECT p, d, any_value(up) AS up, min(c) AS c, count(*) AS n, coalesce(sha256(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = len)), sha256('')) AS ends,
+                 CASE WHEN d > 0 THEN octet_length(encode(p[d].x)) ELSE 0 END AS bytes FROM m GROUP BY p, d),
+        kids AS (SELECT up AS p, count(*) AS k FROM node WHERE d > 0 GROUP BY up),
+        tree AS (SELECT node.*, coalesce(k, 0) AS k FROM node LEFT JOIN kids ON kids.p = node.p),
+        under AS (SELECT tree.p[1:e] AS p, count(*) FILTER (k = 0) AS leaves, sum((n - 1) * bytes) AS saved FROM tree, unnest(range(0, d + 1)) AS u(e) GROUP BY 1)
+        SELECT tree.c AS conv_id, tree.d AS depth, par.c AS parent_conv_id, tree.n AS n_convs, tree.k AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, tree.ends AS ends_sha256
+        FROM tree JOIN under ON under.p = tree.p LEFT JOIN node par ON par.p = tree.up""",
+    "op12_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+        u AS (SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS us, [('0x' || substr(s, 8 * i + 1, 8))::BIGINT for i in [0, 1, 2, 3]] AS h FROM d),
+        c AS (SELECT *, len(us) AS n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+              least(h[1] % (len(us) + 1), h[2] % (len(us) + 1)) AS a, greatest(h[1] % (len(us) + 1), h[2] % (len(us) + 1)) AS b FROM u),
+        p AS (SELECT *, array_to_string(us[1:a], '') AS pre, array_to_string(us[a + 1:b], '') AS mid, array_to_string(us[b + 1:], '') AS suf FROM c)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
 }

@@ -15,6 +15,9 @@ COLUMNS = {  # the contracts' columns come first
     "op8_line_dedup": ["doc_id", "n_lines", "n_removed", "text"],
     "op9_licenses": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
     "op10_parity_join": ["doc_id", "n_shingles", "component_id"],
+    "op11_prefix_trie": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
+    "op12_fill_in_middle": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
+    "op13_language_id": ["doc_id", "held_out", "lang_pred", "score"],
 }
 
 
@@ -24,10 +27,10 @@ def test_query(spark, tmp_path, name):
     assert df.columns[: len(COLUMNS[name])] == COLUMNS[name]
     df.write.parquet(f"{tmp_path}/got")
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     n = c.execute(f"SELECT count(*) FROM '{tmp_path}/got/*.parquet'").fetchall()[0][0]
-    if name not in ("op4_decontamination", "op7_bestfit"):
+    if name not in ("op4_decontamination", "op7_bestfit", "op11_prefix_trie"):
         source = "pages" if name in ("op1_html_template", "op5_warc") else "documents"
         assert n == c.execute(f"SELECT count(*) FROM {source}").fetchall()[0][0]
     if name in ORACLE:
