@@ -17,6 +17,19 @@ from docloom.operators.base import explode_documents
 KEYS = {"title": ("dc:title", "title"), "author": ("dc:creator", "Author"), "created": ("dcterms:created", "Creation-Date"), "modified": ("dcterms:modified", "Last-Modified"), "page_count": ("xmpTPg:NPages", "Page-Count"), "word_count": ("meta:word-count", "Word-Count")}
 
 
+# Parts of office files that hold properties, and what the properties are called here.
+OFFICE_PARTS = ("docProps/core.xml", "docProps/app.xml", "meta.xml")
+_PROPERTIES = {"title": "dc:title", "creator": "dc:creator", "created": "dcterms:created", "modified": "dcterms:modified", "Pages": "xmpTPg:NPages", "Slides": "xmpTPg:NPages", "Words": "meta:word-count"}
+
+
+def office_properties(part: bytes, found: dict[str, list[str]]) -> None:
+    """Adds the properties of one part."""
+    for e in ET.fromstring(part).iter():
+        key = _PROPERTIES.get(e.tag.rpartition("}")[2])
+        if key and e.text:
+            found.setdefault(key, []).append(e.text)
+
+
 def metadata_of(content: bytes, mime: str = OCTET) -> dict[str, list[str]]:
     """Properties of a document, many-valued; only its size and type if it can't be read, none for an empty one."""
     if not content:
@@ -25,13 +38,9 @@ def metadata_of(content: bytes, mime: str = OCTET) -> dict[str, list[str]]:
     try:
         if content.startswith(b"PK"):
             with zipfile.ZipFile(io.BytesIO(content)) as z:
-                for part in ("docProps/core.xml", "docProps/app.xml", "meta.xml"):
+                for part in OFFICE_PARTS:
                     if part in z.namelist():
-                        for e in ET.fromstring(z.read(part)).iter():
-                            name = e.tag.rpartition("}")[2]
-                            key = {"title": "dc:title", "creator": "dc:creator", "created": "dcterms:created", "modified": "dcterms:modified", "Pages": "xmpTPg:NPages", "Slides": "xmpTPg:NPages", "Words": "meta:word-count"}.get(name)
-                            if key and e.text:
-                                out.setdefault(key, []).append(e.text)
+                        office_properties(z.read(part), out)
         elif content.startswith(b"%PDF-"):
             from docloom.operators.pdf import Pdf
 
