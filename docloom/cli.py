@@ -12,14 +12,14 @@ import sys
 from pyspark.sql import SparkSession, functions as F
 
 from docloom.functions.errors import STATUS
-from docloom.functions.mime import EXTENSION_OF, extension_for
+from docloom.functions.mime import SHORT, extension_for
 from docloom.functions.naming import fragment_filename
 from docloom.functions.options import PAPER_SIZES, ConvertOptions
-from docloom.functions.text import format_size
-from docloom.operators import convert as conversions
 from docloom.operators.archive import zip_fragments
+from docloom.operators.mixed import convert_mixed, split_mixed
 from docloom.plans import registry
 from docloom.sources.files import read_documents, write_files
+from docloom.sources.information import read_information
 
 VERSION = "0.1.0"
 
@@ -30,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     options = argparse.ArgumentParser(add_help=False)
     options.add_argument("-i", "--input", required=True)
-    options.add_argument("--type", help="source type, as an extension; by default that of the first file")
+    options.add_argument("--type", help="source type of all files, as an extension; by default each file has its own")
     options.add_argument("--backend", choices=registry.BACKENDS)
     options.add_argument("--password")
     for name in ("evaluate-formulas", "embed-resources"):
@@ -68,22 +68,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command == "capabilities":
         registry.capability_matrix(spark).orderBy("source", "target").show(500, False)
         return 0
-    docs = read_documents(spark, a.input)
     if a.command == "info":
-        docs.select("path", "mime", format_size(F.length("content")).alias("size")).show(1000, False)
+        found = read_information(spark, a.input).select("path", "mime", F.col("size_text").alias("size"), "parts").cache()
+        found.orderBy("path").show(found.count(), False)
         return 0
+    docs = read_documents(spark, a.input)
     base = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.[^.]*$", "")
-    first = docs.select("mime").first()
-    if first is None:
-        return 0
-    source = a.type or EXTENSION_OF.get(first.mime, "bin")
-    rows = docs.select(base.alias("base"), "content")
+    rows = docs.select(base.alias("base"), "content", F.lit(SHORT.get(a.type, a.type)).alias("mime") if a.type else "mime")
     # licences count where any is set or they are turned off
     products = registry.licensed_products(os.environ) if any(k.startswith("DOCLOOM_LICENSE_") for k in os.environ) else None
     if a.command == "convert":
-        done = conversions.convert(rows, source, a.to, a.backend, options_of(a), products).withColumn("filename", F.concat("base", F.lit(f".{a.to}"))).withColumnRenamed("result", "content")
+        done = convert_mixed(rows, a.to, a.backend, options_of(a), products).withColumn("filename", F.concat("base", F.lit(f".{a.to}"))).withColumnRenamed("result", "content")
     else:
-        found = conversions.split(rows, source, a.backend, options_of(a), products)
+        found = split_mixed(rows, a.backend, options_of(a), products)
         named = found.withColumn("filename", fragment_filename(F.col("index") + 1, F.col("total"), F.col("label"), extension_for(F.col("mime"))))
         if a.extract:
             done = named.withColumn("filename", F.concat("base", F.lit("/"), "filename"))

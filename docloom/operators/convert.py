@@ -11,6 +11,7 @@ import os
 import shutil
 import subprocess
 import tempfile
+import zlib
 from collections.abc import Callable, Sequence
 from functools import cache
 from html.parser import HTMLParser
@@ -18,6 +19,7 @@ from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
 
+from docloom.functions.charset import text_of
 from docloom.functions.mime import SHORT
 from docloom.functions.options import ConvertOptions
 from docloom.operators import archive, mail, outlook, pdf, sevenzip, slides, text_split, watermark, word, workbook  # noqa: F401
@@ -64,29 +66,56 @@ class _Text(HTMLParser):
 
 def html_text(content: bytes) -> str:
     p = _Text()
-    p.feed(content.decode("utf-8", "replace"))
+    p.feed(text_of(content) or content.decode("utf-8", "replace"))
     p.close()
     return " ".join(" ".join(p.parts).split())
 
 
-def any_text(content: bytes, source: str) -> str:
-    """The text of any document; empty input is a parse error, a container its entries' texts."""
+#: Bytes that a gzip member may inflate to.
+MAX_GZIP_BYTES = 1 << 30
+#: Levels of archives within archives whose texts are read.
+NESTED = 8
+
+
+def plain_text(content: bytes) -> str:
+    """Bytes in whatever character set they are; what is no text is refused, never decoded."""
+    if content.startswith(b"{\\rtf"):
+        raise ConversionError("UnsupportedConversion", "there is no reader for RTF")
+    text = text_of(content)
+    if text is None:
+        raise ConversionError("UnsupportedConversion", "these bytes are no text")
+    return text
+
+
+def any_text(content: bytes, source: str, level: int = 0) -> str:
+    """The text of any document; empty input is a parse error, a container its entries' texts, nested ones too; other binary data is refused."""
     if not content:
         raise ConversionError("Parse", "empty input")
-    how = {"xlsx": workbook.to_text, "xlsm": workbook.to_text, "ods": workbook.to_text, "docx": word.to_text, "docm": word.to_text, "odt": word.to_text, "pptx": slides.to_text, "pptm": slides.to_text, "pdf": pdf.to_text, "eml": mail.mail_to_text, "msg": outlook.to_text, "html": html_text}
+    how = {"xlsx": workbook.to_text, "xlsm": workbook.to_text, "ods": workbook.to_text, "docx": word.to_text, "docm": word.to_text, "odt": word.to_text, "odp": word.to_text, "pptx": slides.to_text, "pptm": slides.to_text, "pdf": pdf.to_text, "eml": mail.mail_to_text, "msg": outlook.to_text, "html": html_text}
     if source in how:
         return how[source](content)
     if source in ("zip", "7z"):
+        if level >= NESTED:
+            raise ConversionError("Resource", f"archives within archives, over {NESTED} levels")
         parts = []
         for data, mime, _, name in archive.split_zip(content) if source == "zip" else sevenzip.split_7z(content, "core"):
             if isinstance(data, Exception):
                 raise data
             inner = _SHORT_OF.get(mime, "bin")
-            parts.append(f"{name}\n" + (any_text(data, inner) if data and (inner in how or mime.startswith("text/")) else ""))
+            readable = inner in how or inner in ("zip", "7z") or mime.startswith("text/")
+            parts.append(f"{name}\n" + (any_text(data, inner, level + 1) if data and readable else ""))
         return "\n".join(parts)
+    if content.startswith(b"\x1f\x8b"):
+        if level >= NESTED:
+            raise ConversionError("Resource", f"archives within archives, over {NESTED} levels")
+        unpack = zlib.decompressobj(31)
+        inner = unpack.decompress(content, MAX_GZIP_BYTES)
+        if not unpack.eof:
+            raise ConversionError("Resource" if unpack.unconsumed_tail else "Parse", f"over {MAX_GZIP_BYTES} bytes" if unpack.unconsumed_tail else "cut short")
+        return any_text(inner, "bin", level + 1) if inner else ""
     if source in MODERN:
         return how[MODERN[source]](office_convert(content, source, MODERN[source]))
-    return content.decode("utf-8", "replace")
+    return plain_text(content)
 
 
 def any_xml(content: bytes, source: str) -> str:

@@ -19,9 +19,19 @@ def stream_documents(spark: SparkSession, path: str, max_files: int = 1000) -> D
     return found.select("path", "content", detect_lazily(F.col("content"), F.regexp_extract("path", r"([^/]*)$", 1)).alias("mime"))
 
 
-def drain(stream: DataFrame, target: str, checkpoint: str) -> None:
-    """Writes all that is there to a Parquet folder and ends; a repeated call goes on where the last one ended."""
-    stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def drain(stream: DataFrame, target: str, checkpoint: str, timers: bool = False) -> None:
+    """Writes all that is there to a Parquet folder and ends; a repeated call goes on where the last one ended.
+
+    timers: the stream has processing-time timers, for which Spark would run batches without data for ever; they fire with the next data instead.
+    """
+    spark, key = stream.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
+    was = spark.conf.get(key)
+    if timers:
+        spark.conf.set(key, "false")
+    try:
+        stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, was)
 
 
 def process_chunks(stream: DataFrame, start: Callable[[], bytes], step: Callable[[bytes, bytes], bytes], finish: Callable[[bytes], bytes]) -> DataFrame:
