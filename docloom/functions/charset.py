@@ -22,8 +22,8 @@ SETS = ("windows-1252", "windows-1251", "koi8-r", "iso-8859-5", "iso-8859-2")
 MARKS = (("utf-32-le", b"\xff\xfe\x00\x00"), ("utf-32-be", b"\x00\x00\xfe\xff"), ("utf-8", b"\xef\xbb\xbf"), ("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff"))
 #: (weight, pairs of kinds): a, A ASCII letters; l, L Latin ones beyond; n, N those of another script; p punctuation; s other signs; u undefined.
 WEIGHTS = (
-    (3.0, "[an][n]|[A][N]"), (1.0, "[a][l]|[l][a]|[A][L]|[L][aA]|[N][nN]"), (-3.0, "[aAlL][nN]|[nN][aAlL]"), (-2.0, "[an][N]|[al][L]|[l][A]"),
-    (-1.5, "[l][l]|[L][L]|[l][L]|[L][l]"), (-1.5, "[aAlLnN][sp](?=[aAlLnN])"), (-1.0, "[ ][s](?=[aAlLnN])"), (1.5, "[ ][p](?=[aAlLnN])"), (-20.0, "u"),
+    (4.0, "[nN][n](?=[n][n])"), (1.0, "[a][l]|[l][a]|[A][L]|[L][aA]|[N][nN]"), (-3.0, "[aAlL][nN]|[nN][aAlL]"), (-2.0, "[an][N]|[al][L]|[l][A]"),
+    (-1.0, "[l][L]"), (-1.5, "[aAlLnN][sp](?=[aAlLnN])"), (-1.0, "[ ][s](?=[aAlLnN])"), (1.5, "[ ][p](?=[aAlLnN])"), (-20.0, "u"),
 )
 #: Bytes that text has none of.
 _CONTROLS = r"[\x01-\x08\x0E-\x1A\x1C-\x1F]"

@@ -162,7 +162,8 @@ class PdfObjects:
             head, body = self._stream(at)
             widths = [int(x) for x in re.search(rb"/W\s*\[\s*(\d+)\s+(\d+)\s+(\d+)", head).groups()]
             size = int(re.search(rb"/Size\s+(\d+)", head)[1])
-            index = [int(x) for x in (m[1].split() if (m := re.search(rb"/Index\s*\[([\d\s]*)\]", head)) else (b"0", str(size).encode()))]
+            listed = re.search(rb"/Index\s*\[([\d\s]*)\]", head)
+            index = [int(x) for x in listed[1].split()] if listed else [0, size]
             row = 0
             for start, n in zip(index[::2], index[1::2]):
                 for k in range(n):
