@@ -21,6 +21,7 @@ from pyspark.sql.types import StructType
 from docloom.functions import errors, mime as M
 from docloom.functions.options import ConvertOptions
 from docloom.operators.base import OUTPUT_BYTES, Fragment, as_error
+from docloom.operators.deadline import Guarded
 from docloom.operators.convert import _SHORT_OF, converter, first_success, splitter
 from docloom.operators.text_split import csv_to_html
 from docloom.plans.registry import BACKENDS, licensed, routes, splits
@@ -48,15 +49,19 @@ def _columns(content: Column, source: Column, target: Column) -> list[tuple[Colu
     return [(source == target, content), (table, F.encode(csv_to_html(F.decode(content, "UTF-8")), "UTF-8"))]
 
 
-@lru_cache(maxsize=512)
-def _converter(source: str, target: str, backends: tuple[str, ...], options: ConvertOptions) -> Callable[[bytes], bytes | str]:
+def _guarded(work: Callable, seconds: float | None) -> Callable:
+    return Guarded(work, seconds) if seconds else work
+
+
+@lru_cache(maxsize=64)
+def _converter(source: str, target: str, backends: tuple[str, ...], options: ConvertOptions, seconds: float | None) -> Callable[[bytes], bytes | str]:
     s, t = _SHORT_OF.get(source, "bin"), _SHORT_OF.get(target, target)
-    return first_success([converter(b, s, t, options) for b in backends])
+    return _guarded(first_success([converter(b, s, t, options) for b in backends]), seconds)
 
 
-@lru_cache(maxsize=128)
-def _splitter(source: str, backends: tuple[str, ...], options: ConvertOptions) -> Callable[[bytes], list[Fragment]]:
-    return first_success([splitter(b, _SHORT_OF.get(source, "bin"), options) for b in backends])
+@lru_cache(maxsize=64)
+def _splitter(source: str, backends: tuple[str, ...], options: ConvertOptions, seconds: float | None) -> Callable[[bytes], list[Fragment]]:
+    return _guarded(first_success([splitter(b, _SHORT_OF.get(source, "bin"), options) for b in backends]), seconds)
 
 
 def _by_row(df: DataFrame, inputs: Sequence[str], rows_of: Callable[..., list[tuple]], added: str) -> DataFrame:
@@ -90,8 +95,11 @@ def _by_row(df: DataFrame, inputs: Sequence[str], rows_of: Callable[..., list[tu
     return df.select(*keep, *inputs).mapInArrow(run, schema)
 
 
-def convert_mixed(df: DataFrame, target: str | None = None, backend: str | None = None, options: ConvertOptions = ConvertOptions(), products: Sequence[str] | None = None) -> DataFrame:
-    """df(..., content, mime[, target]) with result and error, each row by the route from its type to its target, or to one target for all."""
+def convert_mixed(df: DataFrame, target: str | None = None, backend: str | None = None, options: ConvertOptions = ConvertOptions(), products: Sequence[str] | None = None, seconds: float | None = None) -> DataFrame:
+    """df(..., content, mime[, target]) with result and error, each row by the route from its type to its target, or to one target for all.
+
+    seconds: a row that takes longer is a Timeout error, whatever its converter does; null: none is stopped.
+    """
     clash = {"result", "error", "backends", "__own", "__to"} & set(df.columns)
     if clash:
         raise ValueError(f"rename {sorted(clash)} first: the operator adds columns of these names")
@@ -115,7 +123,7 @@ def convert_mixed(df: DataFrame, target: str | None = None, backend: str | None
 
     def convert(content: bytes, mime: str, goal: str, backends: list[str]) -> list[tuple]:
         try:
-            out = _converter(mime, goal, tuple(backends), options)(content)
+            out = _converter(mime, goal, tuple(backends), options, seconds)(content)
         except Exception as e:  # an error is a value of the row
             return [(None, as_error(e, "Render"))]
         return [(out.encode() if isinstance(out, str) else out, None)]
@@ -125,7 +133,7 @@ def convert_mixed(df: DataFrame, target: str | None = None, backend: str | None
     return columns.unionByName(none).unionByName(python)
 
 
-def split_mixed(df: DataFrame, backend: str | None = None, options: ConvertOptions = ConvertOptions(), products: Sequence[str] | None = None) -> DataFrame:
+def split_mixed(df: DataFrame, backend: str | None = None, options: ConvertOptions = ConvertOptions(), products: Sequence[str] | None = None, seconds: float | None = None) -> DataFrame:
     """df(..., content, mime) to fragments, each row by the splitters of its type; a type without one is an UnsupportedConversion error."""
     names = {"index", "label", "total", "error", "backends"} & set(df.columns)
     if names:
@@ -143,7 +151,7 @@ def split_mixed(df: DataFrame, backend: str | None = None, options: ConvertOptio
 
     def split(content: bytes, mime: str, backends: list[str]) -> list[tuple]:
         try:
-            parts = _splitter(mime, tuple(backends), options)(content)
+            parts = _splitter(mime, tuple(backends), options, seconds)(content)
         except Exception as e:
             return [(None, None, None, None, None, as_error(e, "Split"))]
         return [(None, *p[1:], len(parts), as_error(p[0], "Split")) if isinstance(p[0], Exception) else (*p, len(parts), None) for p in parts]

@@ -10,6 +10,7 @@ from docloom import expected as E
 from docloom.functions import errors, mime as M, naming, options as O, paths, text as T
 from docloom.operators import archive, convert as C, info, mail, pdf, slides, text_split, watermark as W, word, workbook as B
 from docloom.plans import pipeline as P, registry as R
+from docloom.plans.paths import plan_conversions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -475,6 +476,22 @@ def impl_lineage(spark, d):
     return R.route_lineage(docs, spark).select("doc_id", "mime", "target", "implementation")
 
 
+_PLANNED, _PLANNED_FOR = ["odp", "docx", "html", "msg", "csv", "png", "7z"], ["plain", "xlsx", "jpeg", "ods", "docx"]
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT source, target, min(rank) + 1 AS cost FROM ({_RANKED}) WHERE source <> target GROUP BY ALL),
+p AS (SELECT source, target, cost, [source, target] AS path FROM e WHERE source IN ({", ".join(f"'{E.MIME[x]}'" for x in _PLANNED)}) UNION ALL
+SELECT p.source, e.target, p.cost + e.cost, list_append(path, e.target) FROM p JOIN e ON e.source = p.target WHERE NOT list_contains(path, e.target) AND p.cost + e.cost <= 6),
+b AS (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY cost, len(path), path) AS k FROM p),
+d AS (SELECT doc_id, {_LIST(_PLANNED)}[1 + doc_id % {len(_PLANNED)}] AS mime, {_LIST(_PLANNED_FOR)}[1 + doc_id // {len(_PLANNED)} % {len(_PLANNED_FOR)}] AS target FROM documents)
+SELECT doc_id, d.mime, d.target, CASE WHEN d.mime = d.target THEN d.mime ELSE array_to_string(path, ' > ') END AS path, CAST(CASE WHEN d.mime = d.target THEN 0 ELSE cost END AS DOUBLE) AS cost
+FROM d LEFT JOIN b ON b.source = d.mime AND b.target = d.target AND k = 1""")
+def conversion_plans(spark, d):
+    pick = lambda shorts, k: F.get(F.array(*(F.lit(R.mime(s)) for s in shorts)), k.cast("int"))
+    docs = table(spark, d, "documents").select("doc_id", pick(_PLANNED, F.col("doc_id") % len(_PLANNED)).alias("mime"), pick(_PLANNED_FOR, F.floor(F.col("doc_id") / len(_PLANNED)) % len(_PLANNED_FOR)).alias("target"))
+    return plan_conversions(docs).select("doc_id", "mime", "target", F.array_join("path", " > ").alias("path"), "cost")
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'commercial' WHEN doc_id % 4 = 3 THEN NULL WHEN doc_id % 3 = 0 THEN 'office' WHEN doc_id % 3 = 2 THEN NULL ELSE 'core' END AS value,
 CASE WHEN doc_id % 4 = 3 THEN 'Parse' WHEN doc_id % 4 <> 0 AND doc_id % 3 = 2 THEN 'Render' END AS error_type FROM documents""")
 def fallback_dispatch(spark, d):

@@ -185,7 +185,7 @@ class PdfObjects:
         """Dictionary and data of a stream, inflated, and the rows' predictor undone."""
         head = self._until(at, b"stream")
         m = re.search(rb"/Length\s+(\d+)(\s+\d+\s+R)?", head)
-        length = int(re.search(rb"\d+", self.get(int(m[1])))[0]) if m[2] else int(m[1])
+        length = int(re.search(rb"obj\s+(\d+)", self.get(int(m[1])))[1]) if m[2] else int(m[1])
         skip = 2 if self._at(at + len(head), 2) == b"\r\n" else 1
         data = self._at(at + len(head) + skip, length)
         if b"/FlateDecode" in head:
