@@ -50,3 +50,53 @@ def test_state_survives_a_restart_and_idle_keys_end(spark, tmp_path):
     assert got == [("a", b"12!"), ("b", "Timeout"), ("c", b"done!"), ("new", b"n!")]
     # what was forgotten begins anew
     assert ("b", b"again!") in run(spark, tmp_path, [[("b", 0, b"again", True)]], "r", 1)
+
+
+def test_chunks_of_large_files_are_given_once(spark, tmp_path):
+    from docloom.sources.chunks import stream_chunks
+
+    rnd = random.Random(4)
+    data = {f"f{i}": rnd.randbytes(n) for i, n in enumerate((0, 1, 999, 1000, 1001, 25_000))}
+    (tmp_path / "in").mkdir()
+    stream = stream_chunks(spark, f"{tmp_path}/in", 1000, 4000)
+
+    def take():
+        query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").start()
+        query.processAllAvailable()
+        query.stop()  # killed between two batches
+        found = {}
+        for r in sorted(spark.read.parquet(f"{tmp_path}/out").collect(), key=lambda r: (r.path, r.seq)):
+            name = r.path.rpartition("/")[2]
+            assert (r.seq, r.at) == (len(found.get(name, b"")) // 1000, len(found.get(name, b"")))
+            found[name] = found.get(name, b"") + bytes(r.content)
+            assert r.last == (len(found[name]) == r.size)
+        return found
+
+    for name in ("f0", "f2", "f5"):
+        (tmp_path / "in" / name).write_bytes(data[name])
+    assert take() == {n: data[n] for n in ("f2", "f5")}
+    for name in ("f1", "f3", "f4"):
+        (tmp_path / "in" / name).write_bytes(data[name])
+    assert take() == {n: d for n, d in data.items() if d}
+    assert take() == {n: d for n, d in data.items() if d}
+
+
+def test_chunk_partitions_and_growth(spark, tmp_path):
+    import pytest
+    from pyspark.sql.types import StructType
+
+    from docloom.sources.chunks import SCHEMA, ChunkReader
+
+    schema = StructType.fromDDL(SCHEMA)
+    reader = ChunkReader({"path": str(tmp_path), "chunkBytes": "10", "splitBytes": "40"}, schema)
+    parts = [p.parts for p in reader.partitions({"a": 25}, {"a": 25, "b": 95, "c": 12})]
+    covered = sorted(x for p in parts for x in p)
+    assert sum(e - s for _, s, e in covered) == 107 and all(s % 10 == 0 for _, s, _ in covered) and all(sum(e - s for _, s, e in p) <= 50 for p in parts)
+    with pytest.raises(ValueError, match="had 25 bytes"):
+        reader.partitions({"a": 25}, {"a": 30})
+    growing = ChunkReader({"path": str(tmp_path), "chunkBytes": "10", "growing": "true"}, schema)
+    (tmp_path / "log").write_bytes(b"x" * 37)
+    assert list(growing.latestOffset().values()) == [30]
+    got = [(r["seq"], len(r["content"])) for p in growing.partitions({str(tmp_path / "log"): 10}, growing.latestOffset()) for b in growing.read(p) for r in b.to_pylist()]
+    assert got == [(1, 10), (2, 10)]
+    assert ChunkReader({"path": f"{tmp_path}/none"}, schema).latestOffset() == {}
