@@ -86,6 +86,19 @@ def mixed_types(spark, d) -> DataFrame:
     return convert_mixed(docs).select("doc_id", sha(F.col("result")).alias("hash"), F.col("error.type").alias("error"))
 
 
+@query("""SELECT kind, status, count(*) AS n FROM (SELECT CASE WHEN doc_id % 6 IN (0, 1, 2) THEN 'Parse' WHEN doc_id % 6 IN (3, 4) THEN 'UnsupportedConversion' END AS kind,
+CASE WHEN doc_id % 6 IN (0, 1, 2) THEN 400 WHEN doc_id % 6 IN (3, 4) THEN 415 END AS status FROM documents) GROUP BY ALL""")
+def failure_status(spark, d) -> DataFrame:
+    """Documents that fail for what they are: no workbook, an archive cut short, nothing, no route, no text; and some that don't."""
+    k, text = F.col("doc_id") % 6, F.encode("text", "UTF-8")
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (k + 1).cast("int"))
+    content = F.when(k == 1, F.concat(F.lit(b"PK\x03\x04"), text)).when(k == 2, F.lit(b"")).when(k == 4, F.concat(F.lit(b"\x00\x01\x02"), text)).otherwise(text)
+    mimes = pick(M.SHORT["xlsx"], M.SHORT["zip"], M.SHORT["pdf"], M.SHORT["json"], M.OCTET, M.OCTET)
+    docs = table(spark, d, "documents").select(content.alias("content"), mimes.alias("mime"), F.when(k == 3, M.SHORT["png"]).otherwise(M.SHORT["plain"]).alias("target"))
+    done = convert_mixed(docs)
+    return done.groupBy(F.col("error.type").alias("kind"), F.col("error.http_status").alias("status")).agg(F.count("*").alias("n"))
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'utf-16-le' WHEN doc_id % 5 = 2 THEN 'utf-16-be' WHEN doc_id % 5 = 4 AND NOT regexp_matches(text, '^[\\x00-\\x7F]*$') THEN 'windows-1252' ELSE 'utf-8' END AS charset, sha256(text) AS hash FROM documents""")
 def decoded_texts(spark, d) -> DataFrame:
     """Texts written in five ways, without saying which, and read again."""

@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import os
 import shutil
+import struct
 import subprocess
 import tempfile
+import zipfile
 import zlib
 from collections.abc import Callable, Sequence
 from functools import cache
 from html.parser import HTMLParser
+from xml.etree.ElementTree import ParseError
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
@@ -197,6 +200,22 @@ def _parsed(how: Callable[[bytes], bytes | str]) -> Callable[[bytes], bytes | st
     return run
 
 
+#: What readers raise on bytes that are not of their format.
+MALFORMED = (zipfile.BadZipFile, ParseError, zlib.error, struct.error, KeyError, IndexError, UnicodeDecodeError, EOFError)
+
+
+def _well_formed(how: Callable[[bytes], bytes | str]) -> Callable[[bytes], bytes | str]:
+    """Bytes that are not of their format are a Parse error."""
+
+    def run(content: bytes):
+        try:
+            return how(content)
+        except MALFORMED as e:
+            raise ConversionError("Parse", str(e) or type(e).__name__) from e
+
+    return run
+
+
 def _own(source: str, target: str, o: ConvertOptions) -> Callable[[bytes], bytes | str] | None:
     """The library's own converter of a route, if it has one."""
     sheets = ("xlsx", "xlsm", "ods")
@@ -219,7 +238,7 @@ def _own(source: str, target: str, o: ConvertOptions) -> Callable[[bytes], bytes
     table = {
         ("docx", "html"): word.to_html, ("docm", "html"): word.to_html, ("odt", "html"): word.to_html, ("docx", "plain"): word.to_text, ("docx", "markdown"): word.to_markdown,
         ("docm", "docx"): word.drop_macros, ("xlsm", "xlsx"): word.drop_macros, ("pptm", "pptx"): word.drop_macros, ("pptx", "html"): slides.to_html,
-        ("xlsx", "ods"): workbook.xlsx_to_ods, ("ods", "xlsx"): workbook.ods_to_xlsx, ("pdf", "html"): pdf.to_html, ("png", "pdf"): pdf.from_image, ("jpeg", "pdf"): pdf.from_image,
+        ("xlsx", "ods"): workbook.xlsx_to_ods, ("ods", "xlsx"): workbook.ods_to_xlsx, ("pdf", "html"): pdf.to_html, ("png", "pdf"): _well_formed(pdf.from_image), ("jpeg", "pdf"): _well_formed(pdf.from_image),
         ("eml", "html"): mail.mail_to_html, ("eml", "msg"): outlook.from_mail, ("msg", "html"): outlook.to_html, ("msg", "eml"): outlook.to_mail,
         ("csv", "xlsx"): lambda c: workbook.from_csv(c, "xlsx"), ("csv", "ods"): lambda c: workbook.from_csv(c, "ods"), ("csv", "html"): _csv_html,
     }

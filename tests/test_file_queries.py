@@ -25,4 +25,4 @@ def test_query(spark, tmp_path, name):
 
 
 def test_names():
-    assert NAMES == ["archive_source", "file_information", "paragraph_files", "csv_files", "mixed_types", "decoded_texts", "chunk_stream"]
+    assert NAMES == ["archive_source", "file_information", "paragraph_files", "csv_files", "mixed_types", "failure_status", "decoded_texts", "chunk_stream"]

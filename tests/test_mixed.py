@@ -87,3 +87,9 @@ def test_a_mixed_folder_at_the_command_line(spark, tmp_path, capsys):
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["n.plain", "p.plain", "t.plain", "w.plain"]
     assert cli.main(["split", "--extract", "-i", f"{tmp_path}/in/*", "-o", f"{tmp_path}/parts"], spark) == 1
     assert "p: UnsupportedConversion (415)" in capsys.readouterr().err and sorted(p.name for p in (tmp_path / "parts").iterdir()) == ["n", "t", "w"]
+
+
+def test_an_image_that_ends_early_is_a_parse_error(spark):
+    for mime, data in (("image/jpeg", b"\xff\xd8\xff\xe0\x00"), ("image/png", b"\x89PNG\r\n\x1a\n\x00\x00")):
+        row = convert_mixed(spark.createDataFrame([(data, mime)], "content binary, mime string"), "pdf").first()
+        assert (row.result, row.error.type, row.error.http_status) == (None, "Parse", 400)
