@@ -20,11 +20,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from docloom.functions.text import trim_controls
+from docloom.sources.scratch import cut
 
 #: Bytes of a relation of blocks or files up to which it may be broadcast.
 BROADCAST_BYTES = 32 << 20
-#: Bytes counted for a row of it: a path and some numbers.
-BLOCK_ROW_BYTES = 400
+#: Bytes counted for a row of it, besides its texts.
+ROW_BYTES = 128
 HEAD, INNER, TAIL, WHOLE, END = range(5)
 _RUNS = pa.schema([("path", pa.string()), ("block", pa.int64()), ("role", pa.int32()), ("rank", pa.int64()), ("solid", pa.bool_()), ("text", pa.string())])
 _RUN_COLUMNS = "path string, block long, role int, rank long, solid boolean, text string"
@@ -129,10 +130,13 @@ def _runs(lines: DataFrame, inner: bool) -> DataFrame:
     return lines.mapInArrow(run, _RUN_COLUMNS)
 
 
-def small_side(df: DataFrame, row_bytes: int = BLOCK_ROW_BYTES) -> DataFrame:
-    """A relation for one side of a join: broadcast if its counted rows allow that."""
-    most = BROADCAST_BYTES // row_bytes
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small_side(df: DataFrame) -> DataFrame:
+    """A relation for one side of a join, made once: broadcast if its bytes, counted, allow that."""
+    made, held = cut(df), F.lit(ROW_BYTES)
+    for name, kind in df.dtypes:
+        if kind == "string":
+            held = held + F.coalesce(F.octet_length(name), F.lit(0))
+    return F.broadcast(made) if (made.agg(F.sum(held)).first()[0] or 0) <= BROADCAST_BYTES else made
 
 
 def block_plan(lines: DataFrame) -> DataFrame:
@@ -172,40 +176,35 @@ def split_paragraph_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _numbered(lines: DataFrame, texts: bool) -> DataFrame:
-    """path, block, rank, text of lines that aren't blank, the file's first one left out; or path, block, n without texts."""
+    """path, block, rank, text of lines that aren't blank, the file's first one left out; or, without texts, path, block, n of them, head: that first line."""
+    ended = lambda a: pc.replace_substring_regex(a, r"\r$", "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rank = None, 0
         for now, piece in _segments(batches):
+            head = pa.array([None], pa.string())
             if now != key:
                 key, rank = now, 0
-                piece = piece.slice(1) if now[1] == 0 else piece
+                if now[1] == 0:
+                    head, piece = ended(piece.slice(0, 1)), piece.slice(1)
             kept = piece.filter(pc.match_substring_regex(piece, r"[^\x00-\x20]"))
             n = len(kept)
-            if texts and n:
-                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * n), pa.array([key[1]] * n), pa.array(np.arange(rank, rank + n)), pc.replace_substring_regex(kept, r"\r$", "")], ["path", "block", "rank", "text"])
+            if not texts:
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), pa.array([n], pa.int64()), head], ["path", "block", "n", "head"])
             elif n:
-                yield pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), pa.array([n], pa.int64())], ["path", "block", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * n), pa.array([key[1]] * n), pa.array(np.arange(rank, rank + n)), ended(kept)], ["path", "block", "rank", "text"])
             rank += n
 
-    return lines.mapInArrow(run, "path string, block long, rank long, text string" if texts else "path string, block long, n long")
+    return lines.mapInArrow(run, "path string, block long, rank long, text string" if texts else "path string, block long, n long, head string")
 
 
 def split_csv_files(spark: SparkSession, path: str) -> DataFrame:
     """path, index, label, total, text of the rows of CSV files, each under its file's first line."""
     lines = read_lines(spark, path)
-    order = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = _numbered(lines, False).groupBy("path", "block").agg(F.sum("n").alias("n"))
-    plan = blocks.select("path", "block", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("offset"), F.sum("n").over(Window.partitionBy("path")).alias("total"))
-
-    def first_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = None
-        for (name, start), piece in _segments(batches):
-            if start == 0 and name != seen:
-                seen = name
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pc.replace_substring_regex(piece.slice(0, 1), r"\r$", "")], ["path", "head"])
-
-    heads = lines.where("block = 0").mapInArrow(first_line, "path string, head string")
-    found = _numbered(lines, True).join(small_side(plan.join(heads, "path"), 4 * BLOCK_ROW_BYTES), ["path", "block"])
+    whole = Window.partitionBy("path")
+    order = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = _numbered(lines, False).groupBy("path", "block").agg(F.sum("n").alias("n"), F.max("head").alias("head"))
+    plan = blocks.select("path", "block", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("offset"), F.sum("n").over(whole).alias("total"), F.max("head").over(whole).alias("head"))
+    found = _numbered(lines, True).join(small_side(plan), ["path", "block"])
     index = (F.col("offset") + F.col("rank")).cast("int")
     return found.select("path", index.alias("index"), F.concat(F.lit("Row "), (index + 2).cast("string")).alias("label"), F.col("total").cast("int").alias("total"), F.concat("head", F.lit("\n"), "text").alias("text"))

@@ -10,14 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docloom.plans.registry import BACKENDS, licensed, routes
-from docloom.sources.scratch import shared_folder
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Rows in the shared folder, so that a round's plan does not hold those before it."""
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession, "paths"))
-    return df.checkpoint(eager=True)
+from docloom.sources.scratch import cut
 
 
 def cheapest_paths(edges: DataFrame) -> DataFrame:
@@ -25,7 +18,7 @@ def cheapest_paths(edges: DataFrame) -> DataFrame:
 
     Of equal costs the path of fewer hops, then the first in the order of its types. A node is not its own target.
     """
-    direct = _cut(edges.where("source IS NOT NULL AND target IS NOT NULL AND cost IS NOT NULL AND source <> target").groupBy("source", "target").agg(F.min("cost").cast("double").alias("cost")))
+    direct = cut(edges.where("source IS NOT NULL AND target IS NOT NULL AND cost IS NOT NULL AND source <> target").groupBy("source", "target").agg(F.min("cost").cast("double").alias("cost")))
     if not direct.where("cost < 0").isEmpty():
         raise ValueError("costs must not be negative")
     step = direct.select(F.col("source").alias("via"), F.col("target").alias("end"), F.col("cost").alias("more"))
@@ -36,7 +29,7 @@ def cheapest_paths(edges: DataFrame) -> DataFrame:
         longer = front.join(step, front["target"] == step["via"]).where(~F.array_contains("path", F.col("end")))
         longer = longer.select("source", F.col("end").alias("target"), (F.col("cost") + F.col("more")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.array_append("path", F.col("end")).alias("path"))
         found = longer.groupBy("source", "target").agg(F.min(whole).alias("new"))
-        both = _cut(best.select("source", "target", whole.alias("old")).join(found, ["source", "target"], "full"))
+        both = cut(best.select("source", "target", whole.alias("old")).join(found, ["source", "target"], "full"))
         better = F.col("old").isNull() | (F.col("new") < F.col("old"))
         front = both.where(F.col("new").isNotNull() & better).select("source", "target", "new.*")
         if front.isEmpty():
