@@ -3,7 +3,8 @@
 A byte order mark decides, else valid UTF-8, else the places of NUL bytes (UTF-16 and UTF-32 without a mark), else the likelihood of neighbours: under
 each 8-bit set every byte is a letter of some script and case, a sign, or undefined, and pairs of kinds have weights, so that a set under
 which capitals follow small letters, scripts meet within a word, or signs stand inside words, loses. The kinds are made by rule from the
-sets' own tables; a text is mapped to its kinds by one `translate` for each set, and pairs are counted by regular expressions.
+sets' own tables; a text is mapped to its kinds by one `translate` for each set, and pairs are counted by regular expressions, once
+in each distinct word. Among ASCII letters, words of two or three letters beyond ASCII ("ää", "Éê") say nothing of the script, and longer ones are weighed against those letters.
 
 Bytes that none of this explains (control characters, NUL bytes without such a pattern) have no character set: they are no text. Cyrillic text in capitals only fits KOI8-R and
 windows-1251 alike, and is taken for the former.
@@ -17,14 +18,19 @@ from functools import cache
 
 from pyspark.sql import Column, functions as F
 
-# The 8-bit sets that are told apart, in the order that decides between equals; and the byte order marks.
+# The 8-bit sets that are told apart, in the order that decides between equals; those of another script; and the byte order marks.
 SETS = ("windows-1252", "windows-1251", "koi8-r", "iso-8859-5", "iso-8859-2")
+CYRILLIC = ("windows-1251", "koi8-r", "iso-8859-5")
 MARKS = (("utf-32-le", b"\xff\xfe\x00\x00"), ("utf-32-be", b"\x00\x00\xfe\xff"), ("utf-8", b"\xef\xbb\xbf"), ("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff"))
 #: (weight, pairs of kinds): a, A ASCII letters; l, L Latin ones beyond; n, N those of another script; p punctuation; s other signs; u undefined.
 WEIGHTS = (
-    (4.0, "[nN][n](?=[n][n])"), (1.0, "[a][l]|[l][a]|[A][L]|[L][aA]|[N][nN]"), (-3.0, "[aAlL][nN]|[nN][aAlL]"), (-2.0, "[an][N]|[al][L]|[l][A]"),
+    (4.0, "[nN][n](?=[n][n])"), (1.0, "[a][l]|[l][a]|[A][L]|[L][aA]"), (-3.0, "[aAlL][nN]|[nN][aAlL]"), (-2.0, "[an][N]|[al][L]|[l][A]"),
     (-1.0, "[l][L]"), (-1.5, "[aAlLnN][sp](?=[aAlLnN])"), (-1.0, "[ ][s](?=[aAlLnN])"), (1.5, "[ ][p](?=[aAlLnN])"), (-20.0, "u"),
 )
+#: A capital of another script before its like, of weight 1: any in a text without ASCII letters; with them, at the head of four letters.
+CAPITALS, CAPITALS_AMONG_ASCII = "[N][nN]", "[N][nN](?=[nN][nN])"
+#: What ASCII letters take from the score of a set of another script: once, as much as a lone word of four letters gives, and for each letter.
+ASCII_COST, LETTER_COST = 5.0, 0.05
 #: Bytes that text has none of.
 _CONTROLS = r"[\x01-\x08\x0E-\x1A\x1C-\x1F]"
 
@@ -61,15 +67,33 @@ def _counted(weights: tuple) -> list[tuple[float, str]]:
 
 
 COUNTED = _counted(WEIGHTS)
+((_, _ANY_CAPITALS), (_, _HEAD_CAPITALS)) = _counted(((1.0, CAPITALS), (1.0, CAPITALS_AMONG_ASCII)))
 
 
-def score(content: Column, name: str) -> Column:
-    """How well the neighbours fit the set: the sum of the weights of all pairs."""
-    mapped = F.translate(F.decode(content, "ISO-8859-1"), _LATIN, kinds(name))
-    total = F.lit(0.0)
-    for w, pattern in COUNTED:
-        total = total + F.regexp_count(mapped, F.lit(pattern)) * w
-    return total
+def _once(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def score(words: Column, letters: Column, name: str) -> Column:
+    """How well the neighbours fit the set: the sum of the weights of all pairs, for another script less the cost of ASCII letters."""
+
+    def total(mapped: Column) -> Column:
+        out = F.lit(0.0)
+        for w, pattern in COUNTED:
+            out = out + F.regexp_count(mapped, F.lit(pattern)) * w
+        if name in CYRILLIC:
+            out = out + F.when(letters == 0, F.regexp_count(mapped, F.lit(_ANY_CAPITALS))).otherwise(F.regexp_count(mapped, F.lit(_HEAD_CAPITALS)) - (letters * LETTER_COST + ASCII_COST))
+        return out
+
+    return _once(F.translate(words, _LATIN, kinds(name)), total)
+
+
+def _best(latin: Column) -> Column:
+    """The set that fits best, the first of equals."""
+    scores = lambda words, n: F.array(*(F.struct(score(words, n, s).alias("score"), F.lit(-k).alias("rank"), F.lit(s).alias("name")) for k, s in enumerate(SETS)))
+    words = F.array_join(F.array_distinct(F.split(latin, " ")), " ")
+    return _once(words, lambda w: _once(F.length(F.regexp_replace(w, "[^A-Za-z]+", "")), lambda n: F.array_max(scores(w, n))["name"]))
 
 
 def charset(content: Column) -> Column:
@@ -87,8 +111,7 @@ def charset(content: Column) -> Column:
     four = (n % 4 == 0) & F.rlike(latin, F.lit(r"^(?s:..[\x00-\x10]\x00)+$")), (n % 4 == 0) & F.rlike(latin, F.lit(r"^(?s:\x00[\x00-\x10]..)+$"))
     found = found.when(four[0], "utf-32-le").when(four[1], "utf-32-be")
     found = found.when((n % 2 == 0) & (odd * 5 > n) & (even * 50 <= n), "utf-16-le").when((n % 2 == 0) & (even * 5 > n) & (odd * 50 <= n), "utf-16-be")
-    best = F.array_max(F.array(*(F.struct(score(content, s).alias("score"), F.lit(-k).alias("rank"), F.lit(s).alias("name")) for k, s in enumerate(SETS))))
-    return found.when(no_nul & clean, best["name"])
+    return found.when(no_nul & clean, _best(latin))
 
 
 def decode_text(content: Column, name: Column | None = None) -> Column:
@@ -138,10 +161,15 @@ def charset_of(content: bytes) -> str | None:
         return "utf-16-be"
     if not (no_nul and clean):
         return None
+    words = b" ".join(dict.fromkeys(content.split(b" ")))
+    letters = len(re.findall(rb"[A-Za-z]", words))
 
     def fit(name: str) -> float:
-        mapped = content.translate(kinds(name).encode()).decode()
-        return sum(w * len(re.findall(p, mapped)) for w, p in COUNTED)
+        mapped = words.translate(kinds(name).encode()).decode()
+        total = sum(w * len(re.findall(p, mapped)) for w, p in COUNTED)
+        if name in CYRILLIC:
+            total += len(re.findall(_HEAD_CAPITALS, mapped)) - (letters * LETTER_COST + ASCII_COST) if letters else len(re.findall(_ANY_CAPITALS, mapped))
+        return total
 
     return max(SETS, key=fit)  # the first of equals
 

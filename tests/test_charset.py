@@ -42,6 +42,19 @@ def test_columns_and_python_agree(spark):
         assert got[i][0] == charset_of(b), b
 
 
+LONE = ["Lich die verte einerte chau cheiniesch öö auau entz der ü ertzheitch.", "thlyouin, èê, outh nterb", "Ää ist so", "Re et çê, çê, çê, çê,", "sur éêêè, enier", "Re éçêè Re éçêè Re éçêè"]
+CYRILLIC = ["Да", "<p class='text'>Привет, мир!</p><p class='more'>Это простой текст</p>", "the word слово means word"]
+
+
+def test_lone_words_beyond_ascii(spark):
+    """Words of letters beyond ASCII only are Latin among Latin words; Cyrillic ones are found without ASCII letters, in markup and beside a few words."""
+    want = [(t, "windows-1252") for t in LONE] + [(t, "windows-1251") for t in CYRILLIC]
+    df = spark.createDataFrame([(i, t.encode(s)) for i, (t, s) in enumerate(want)], "i int, content binary")
+    got = {r.i: (r.text, r.name) for r in df.select("i", charset(F.col("content")).alias("name"), decode_text(F.col("content")).alias("text")).collect()}
+    assert [got[i] for i in range(len(want))] == want
+    assert [(text_of(t.encode(s)), charset_of(t.encode(s))) for t, s in want] == want
+
+
 def test_stays_in_the_jvm(spark):
     df = spark.createDataFrame([(b"x",)], "content binary").select(decode_text(F.col("content")))
     plan = df._jdf.queryExecution().executedPlan().toString()
