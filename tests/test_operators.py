@@ -4,6 +4,7 @@ import struct
 import zipfile
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -271,6 +272,14 @@ def test_info(spark):
     assert (r.title, r.author, r.word_count, r.page_count, r.created) == ("T", "A", 7, 0, None)
 
 
+def test_upper_keeps_the_length():
+    """A capital for a character, as SQL's upper has it."""
+    given = "straße éñ ŉ ﬁ ᾳ ΐ 1a"
+    book = B.write_xlsx([B.Sheet("S", {(0, 0): B.Cell("string", "", 'UPPER(B1)&LEN(UPPER("Fuß"))'), (0, 1): B.Cell("string", given)})])
+    (content, *_), = B.split_workbook(book)
+    assert B.read_workbook(content)[0].cells[0, 0].value == duckdb.execute("SELECT upper(?)", [given]).fetchone()[0] + "3" == "STRAẞE ÉÑ ŉ ﬁ ᾼ ΐ 1A3"
+
+
 def test_formulas():
     cells = {(0, 0): 5.0, (1, 0): 9.0, (2, 0): "apple", (3, 0): "Apricot", (0, 1): "k", (1, 1): "m", (0, 2): 10.0, (1, 2): 20.0}
     data = B.Sheet("It's", {at: B.Cell("number" if isinstance(v, float) else "string", B.number_text(v) if isinstance(v, float) else v) for at, v in cells.items()})
