@@ -12,8 +12,8 @@ from pyspark.sql.types import StructType
 from docloom.functions.errors import STATUS
 from docloom.schema import ERROR, FRAGMENT
 
-#: Bytes of made rows that Python holds before it hands them on.
-OUTPUT_BYTES = 16 << 20
+#: Bytes of made rows that Python holds, as objects and then as Arrow arrays too, before it hands them on.
+OUTPUT_BYTES = 1 << 20
 
 #: (content, mime, index, label) of a fragment; an exception instead of content that can't be had
 Fragment = tuple[bytes | Exception, str, int, str]

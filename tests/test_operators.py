@@ -5,8 +5,10 @@ import zipfile
 import zlib
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docloom.functions.mime import SHORT
 from docloom.functions.options import ConvertOptions
@@ -272,6 +274,21 @@ def test_info(spark):
     assert (r.title, r.author, r.word_count, r.page_count, r.created) == ("T", "A", 7, 0, None)
 
 
+def test_made_rows_are_handed_on_early(spark):
+    """Fragments of many documents leave Python in small batches, whatever the batch they came in."""
+
+    class Frame:
+        columns, schema = ["doc_id", "content"], StructType.fromDDL("doc_id int, content binary")
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(100)), "content": [b"x"] * 100}, schema=pa.schema([("doc_id", pa.int32()), ("content", pa.binary())]))
+    run = split_documents(Frame(), lambda c: [(c * 20_000, "m", i, "l") for i in range(5)])
+    made = list(run(iter([docs])))
+    assert max(b.nbytes for b in made) < 2 << 20
+    assert [x for b in made for x in b.column(0).to_pylist()] == [i for i in range(100) for _ in range(5)] and sum(len(x) for b in made for x in b.column(1).to_pylist()) == 10_000_000
+
+
 def test_upper_keeps_the_length():
     """A capital for a character, as SQL's upper has it."""
     given = "straße éñ ŉ ﬁ ᾳ ΐ 1a"
